@@ -50,6 +50,8 @@ ROUNDS = 3
 UNKNOWN_WORD = -1.0
 #: Greatest probability at which the best segment of a document is significant.
 SIGNIFICANCE = 1e-4
+#: Fewer words than this aren't a passage: a lone word says too little.
+LEAST_WORDS = 2
 
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнο αε".replace(" ", ""), "aeopcyxijsdhkmtbhoae")
 _LEET = [str.maketrans("013457$@!", "oieastsai"), str.maketrans("013457$@!|", "oleastsail")]
@@ -253,27 +255,37 @@ def _ngrams(tokens: list[str]) -> Iterator[str]:
     yield from map(" ".join, zip(tokens, tokens[1:], tokens[2:]))
 
 
-def _count(labelled: DataFrame, known: set[str], wide: bool, model: Model | None) -> DataFrame:
-    """(feature, bad, fine): how many documents have a word (wide: a pair or triple) in unwelcome and in fine text.
+def _tokenized(labelled: DataFrame) -> DataFrame:
+    """labelled with its normalised words instead of the text."""
+    known = set(prior_words())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = Normal(known)
+        for b in batches:
+            words = [normal.tokens(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+
+    return labelled.select("text", "label").mapInArrow(split, "label int, words array<string>")
 
-    With a model, unwelcome text is what its likely segments cover in unwelcome
-    documents, and the rest of those counts as fine. Unwelcome documents without
-    a likely segment and fine ones with a significant one may be wrongly
-    labelled and are left out.
+
+def _count(labelled: DataFrame, model: Model | None) -> DataFrame:
+    """(feature, size, bad, fine): how many documents have a word, pair or triple (size 1 to 3) in unwelcome and in fine text.
+
+    Size 0 holds the numbers of words. With a model, unwelcome text is what its
+    likely segments cover in unwelcome documents, and the rest of those counts
+    as fine. Unwelcome documents without a likely segment and fine ones with a
+    significant one may be wrongly labelled and are left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = Normal(known)
         bad, fine = Counter(), Counter()
-        size = [0, 0]
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                tokens = normal.tokens(text)
+            for tokens, label in zip(b.column("words").to_pylist(), b.column("label").to_pylist()):
                 parts: list[tuple[list[str], int]] = [(tokens, label)]
                 if model is not None and tokens:
                     scores = _scores(model, tokens)
                     least = LIKELY if label else SIGNIFICANCE
-                    segments = [s for s in maximal_segments(scores) if model.probability(s[2], len(tokens)) <= least]
+                    segments = [s for s in maximal_segments(scores) if model.probability(s[2], len(tokens)) <= least] if label or (scores > 0).any() else []
                     if bool(segments) != bool(label):
                         continue
                     if label == 1:
@@ -283,14 +295,16 @@ def _count(labelled: DataFrame, known: set[str], wide: bool, model: Model | None
                             at = e
                         parts.append((tokens[at:], 0))
                 for counts, which in ((fine, 0), (bad, 1)):
-                    counts.update({x for part, w in parts if w == which for x in (_ngrams(part) if wide else part)})
-                    size[which] += sum(len(part) for part, w in parts if w == which)
-        names = list(bad.keys() | fine.keys()) + ["\t"]
-        bad["\t"], fine["\t"] = size[1], size[0]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([bad[x] for x in names]), pa.array([fine[x] for x in names])], names=["feature", "bad", "fine"])
+                    chosen = [part for part, w in parts if w == which]
+                    counts.update({x for part in chosen for x in part})
+                    counts.update({x for part in chosen for x in _ngrams(part)})
+                    counts[""] += sum(map(len, chosen))
+        names = list(bad.keys() | fine.keys())
+        sizes = [x.count(" ") + 1 if x else 0 for x in names]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array([bad[x] for x in names], pa.int64()), pa.array([fine[x] for x in names], pa.int64())], names=["feature", "size", "bad", "fine"])
 
-    parts = labelled.mapInArrow(count, "feature string, bad long, fine long")
-    return parts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    parts = labelled.mapInArrow(count, "feature string, size int, bad long, fine long")
+    return parts.groupBy("feature", "size").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).filter("size = 0 OR bad >= 2 OR bad + fine >= 3")
 
 
 def _scores(model: Model, tokens: list[str]) -> np.ndarray:
@@ -304,10 +318,10 @@ def _scores(model: Model, tokens: list[str]) -> np.ndarray:
 def _fit(labelled: DataFrame, background: dict[str, float], previous: Model | None) -> Model:
     """Log-odds of one round. Bounded: MOST_FEATURES features reach the driver."""
     prior = prior_words()
-    known = set(prior) if previous is None else set(prior) | set(previous.vocabulary)
-    words = _count(labelled, known, False, previous).filter("feature = '\t' OR bad >= 2 OR bad + fine >= 5")
-    rows = {r["feature"]: (r["bad"], r["fine"]) for r in words.orderBy(F.desc("bad"), F.desc("fine"), "feature").limit(MOST_FEATURES).collect()}
-    n_bad, n_fine = rows.pop("\t", (0, 0))
+    counts = materialize(_count(labelled, previous))
+    words = counts.filter("size <= 1").orderBy("size", F.desc("bad"), F.desc("fine"), "feature").limit(MOST_FEATURES)
+    rows = {r["feature"]: (r["bad"], r["fine"]) for r in words.collect()}
+    n_bad, n_fine = rows.pop("", (0, 0))
     usual = min(0.2, max(0.02, n_bad / max(1, n_bad + n_fine)))
     odds: dict[str, float] = {}
     for w in rows.keys() | prior.keys():
@@ -318,7 +332,7 @@ def _fit(labelled: DataFrame, background: dict[str, float], previous: Model | No
     telling = {w for w, s in odds.items() if s > -1.0}
     spark = labelled.sparkSession
     tell = spark.createDataFrame([(w,) for w in sorted(telling)] or [("",)], "word string")
-    grams = _count(labelled, known, True, previous).filter("bad >= 2 OR bad + fine >= 3").withColumn("words", F.split("feature", " "))
+    grams = counts.filter("size > 1").withColumn("words", F.split("feature", " "))
     matching = grams.select("feature", F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(tell), "word").select("feature").distinct().withColumn("hit", F.lit(True))
     kept = grams.join(matching, "feature", "left").filter("bad >= 2 OR hit").drop("hit")
     many = kept.orderBy(F.desc("bad"), F.desc("fine"), "feature").limit(MOST_FEATURES).collect()
@@ -354,7 +368,13 @@ def _calibrate(model: Model, labelled: DataFrame) -> Model:
     Both parameters are fitted by maximum likelihood to the lower 95 % of the
     scores, as some fine labels are wrong.
     """
-    scored = score_documents(labelled.filter("label = 0"), "id", "text", model).select("best_score", "tokens").filter("tokens > 0")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [w for w in b.column("words").to_pylist() if w]
+            scores = [_scores(model, w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([float(best_scores(s, np.array([0, len(s)]))[0]) for s in scores], pa.float64()), pa.array(list(map(len, words)), pa.int32())], names=["best_score", "tokens"])
+
+    scored = labelled.filter("label = 0").mapInArrow(best, "best_score double, tokens int")
     got = np.array([(r["best_score"], r["tokens"]) for r in scored.orderBy("best_score", "tokens").limit(MOST_LABELLED).collect()], dtype=float).reshape(-1, 2)
     if len(got) < 20:
         return Model(**{**model.__dict__, "decay": 0.8, "rate": 0.02})
@@ -381,7 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = Non
     votes = labels.filter("label IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.avg("label").alias("share")).filter("share <> 0.5")
     chosen = votes.select("id", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
     labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "text", "label")  # at most MOST_LABELLED rows
-    labelled = materialize(labelled)
+    labelled = materialize(_tokenized(labelled))
     frequencies: dict[str, float] = {}
     if background is not None:
         top = background.orderBy(F.desc("n"), "word").limit(MOST_FEATURES).collect()
@@ -450,7 +470,7 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, k
             count, passage = [0] * len(words), [None] * len(words)
             for i, p in enumerate(chance):
                 if p <= SIGNIFICANCE:
-                    found = [s for s in maximal_segments(scores[starts[i] : starts[i + 1]]) if m.probability(s[2], int(lengths[i])) <= SIGNIFICANCE]
+                    found = [s for s in maximal_segments(scores[starts[i] : starts[i + 1]]) if s[1] - s[0] >= LEAST_WORDS and m.probability(s[2], int(lengths[i])) <= SIGNIFICANCE]
                     count[i] = len(found)
                     if found:
                         a, e, _ = max(found, key=lambda s: s[2])
