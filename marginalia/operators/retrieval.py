@@ -32,7 +32,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: flo
     q = queries.select("query_id", F.explode(X.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     wanted = q.select("term").distinct()
     tokenised = docs.select("doc_id", F.coalesce(X.tokens("text"), F.array().cast("array<string>")).alias("t")).withColumn("dl", F.size("t"))
-    stats = tokenised.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(X.token_count("text"), F.lit(0))).alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     tf = tokenised.select("doc_id", "dl", F.explode("t").alias("term")).join(F.broadcast(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = materialize(tf)
