@@ -15,7 +15,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marginalia.llm.containers import number_within
 from marginalia.operators.ranks import range_running_sum
@@ -114,17 +113,17 @@ def mix(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     running = range_running_sum(rated.withColumn("_fine", F.round(F.col("rate") * F.col("n") * fine).cast("long")).select("source", "tokens", "n", "rate", "cap", "_fine"), ["source"], ["tokens"], "_fine", "_before")
     half = fine // 2
     cell_copies = F.floor((F.col("_before") + F.col("_fine") + half) / fine) - F.floor((F.col("_before") + half) / fine)
-    per_cell = running.select("source", "tokens", "n", "rate", F.least(cell_copies, (F.col("cap") * F.col("n")).cast("long")).alias("_copies"))
+    per_cell = materialize(running.select("source", "tokens", "n", "rate", F.least(cell_copies, (F.col("cap") * F.col("n")).cast("long")).alias("_copies")))
     base = F.floor(F.col("_copies") / F.col("n"))
     copies = numbered.join(per_cell, ["source", "tokens"]).select("id", "source", "tokens", "rate", (base + F.when(F.col("n_before") < F.col("_copies") - base * F.col("n"), 1).otherwise(0)).cast("int").alias("copies"))
 
-    mixed = per_cell.groupBy("source").agg(F.sum(F.col("_copies") * F.col("tokens")).alias("mixed_tokens"))
-    rows = [(k, name, share, int(cap), *map(int, have.get(k, (0, 0))), share * total, a.get(k), bool(full[k])) for k, name, share, cap in wanted]
-    listed = spark.createDataFrame(rows, T.StructType([*[T.StructField(n, t) for n, t in (("_k", T.StringType()), ("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.IntegerType()), ("documents", T.LongType()), ("tokens", T.LongType()), ("target_tokens", T.DoubleType()), ("multiplier", T.DoubleType()), ("saturated", T.BooleanType()))]]))
-    shares = listed.join(mixed.withColumnRenamed("source", "_k"), "_k", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    all_mixed = shares.agg(F.sum("mixed_tokens").alias("_all"))
-    shares = shares.join(F.broadcast(all_mixed)).select(
-        "source", "documents", "tokens", "target_tokens", "mixed_tokens", "target_share",
-        (F.col("mixed_tokens") / F.lit(float(total) or None)).alias("reached_share"), F.try_divide("mixed_tokens", "_all").alias("mix_share"), "multiplier", "saturated",
-    )
+    # one row per target
+    mixed = {r["source"]: r["t"] for r in per_cell.groupBy("source").agg(F.sum(F.col("_copies") * F.col("tokens")).alias("t")).collect()}
+    in_all = sum(mixed.values())
+    rows = []
+    for k, name, share, _ in wanted:
+        docs_n, tokens = have.get(k, (0, 0))
+        got = int(mixed.get(k, 0))
+        rows.append((name, int(docs_n), int(tokens), share * total, got, share, got / total if total else 0.0, got / in_all if in_all else 0.0, a.get(k), bool(full[k])))
+    shares = spark.createDataFrame(rows, "source string, documents long, tokens long, target_tokens double, mixed_tokens long, target_share double, reached_share double, mix_share double, multiplier double, saturated boolean")
     return copies, shares
