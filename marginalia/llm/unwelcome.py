@@ -36,7 +36,7 @@ hate kill murder rape stab hurt beat smash bleeding knife shut mouth sick ashame
 sexy sex rough wet moaning begging thrust panting stroked breasts tongue nipples uncensored explicit immigrants liars
 thieves burn die dead"""
 #: (pseudo-counts in unwelcome text, pseudo-counts in fine text)
-PRIOR_COUNTS = {"strong": (4.0, 0.4), "mild": (1.0, 1.0)}
+PRIOR_COUNTS = {"strong": (8.0, 0.4), "mild": (3.0, 1.0)}
 #: Pseudo-counts of any other word, of a pair or triple, and per labelled word of a word's background share.
 WORD_PRIOR, NGRAM_PRIOR, BACKGROUND_PRIOR = 2.0, 1.0, 0.001
 
@@ -175,7 +175,7 @@ class Model:
     rate: float = 1.0
 
     #: Bounds of a token's score.
-    least, most = -2.0, 4.0
+    least, most = -1.0, 4.0
 
     def _look(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
