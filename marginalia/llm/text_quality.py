@@ -53,6 +53,8 @@ STATISTICS = {
 LEAST_PAGES = 200
 #: Outlier score from which a page is looked at, in units of -ln(probability).
 LEAST_SCORE = 4.0
+#: Greatest share of characters outside running prose that prose has.
+MOST_OTHER = 0.5
 
 _EDGES = ".,;:!?\"'“”„«»‘’()[]{}¿¡।…*_|–—-"
 _ENDS = tuple(".!?:。！？।…")
@@ -205,21 +207,21 @@ def tail_probabilities(stats: DataFrame) -> DataFrame:
     return joined.select("language", "statistic", "cell", "total", ((F.col("n_before") + F.col("n")) / F.col("total")).alias("low"), ((F.col("total") - F.col("n_before")) / F.col("total")).alias("high"))
 
 
-def outlier_scores(stats: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def outlier_scores(stats: DataFrame, least_pages: int = LEAST_PAGES, peers: DataFrame | None = None) -> DataFrame:
     """stats with outlier_score: the sum over all statistics of -ln(tail probability against prose).
 
-    Pages rank among those of their language; where it is unknown or has fewer
-    than least_pages pages, among all. A two-sided statistic takes twice the
-    smaller tail, at most 1. An empty input gives an empty result.
+    Pages rank among the peers (by default all of stats) of their language; where
+    it is unknown or has fewer than least_pages peers, among all peers. A
+    two-sided statistic takes twice the smaller tail, at most 1. A value beyond
+    those of all n peers has probability 1 / (n + 1), and counts LEAST_SCORE at
+    least. An empty input gives an empty result.
     """
     # at most (languages + 1) x statistics x (GRID + 1) rows, whatever the input
-    tails = tail_probabilities(stats).filter((F.col("language") == "*") | (F.col("total") >= least_pages)).toPandas()
-    tables: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+    tails = tail_probabilities(stats if peers is None else peers).filter((F.col("language") == "*") | (F.col("total") >= least_pages)).toPandas()
+    tables: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray, float]] = {("*", s): (np.zeros(0, np.int64), np.zeros(1), np.zeros(1), LEAST_SCORE) for s in STATISTICS}
     for (language, s), g in tails.groupby(["language", "statistic"]):
-        g = g.sort_values("cell")
-        side = STATISTICS[s][1]
-        p = g.low if side == "low" else g.high if side == "high" else np.minimum(1.0, 2 * np.minimum(g.low, g.high))
-        tables[language, s] = g.cell.to_numpy(np.int64), -np.log(p.to_numpy(np.float64))
+        g = g.sort_values("cell")  # a value between two cells has the low tail of the one before and the high tail of the one behind
+        tables[language, s] = g.cell.to_numpy(np.int64), np.concatenate([[0.0], g.low.to_numpy(np.float64)]), np.concatenate([g.high.to_numpy(np.float64), [0.0]]), max(LEAST_SCORE, math.log(g.total.iloc[0] + 1))
     schema = T.StructType([*stats.schema.fields, T.StructField("outlier_score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +230,27 @@ def outlier_scores(stats: DataFrame, least_pages: int = LEAST_PAGES) -> DataFram
             total = np.zeros(b.num_rows)
             for language in set(languages):
                 rows = np.flatnonzero(languages == language)
-                for s, (most, _) in STATISTICS.items():
-                    cells, surprise = tables.get((language, s)) or tables["*", s]
+                for s, (most, side) in STATISTICS.items():
+                    cells, lows, highs, beyond = tables.get((language, s)) or tables["*", s]
                     at = np.rint(b.column(s).to_numpy(zero_copy_only=False)[rows] / (most / GRID)).astype(np.int64)
-                    total[rows] += surprise[np.searchsorted(cells, at)]
+                    low, high = lows[np.searchsorted(cells, at, "right")], highs[np.searchsorted(cells, at)]
+                    p = low if side == "low" else high if side == "high" else np.minimum(1.0, 2 * np.minimum(low, high))
+                    total[rows] += np.where(p > 0, -np.log(np.where(p > 0, p, 1.0)), beyond)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total)], names=schema.names)
 
     return stats.mapInArrow(score, schema)
 
 
 def score_texts(pages: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Statistics and outlier scores of every non-blank text; the statistics are computed once and stored."""
-    return outlier_scores(materialize(text_statistics(pages, text_col, keep)))
+    """Statistics and outlier scores of every non-blank text; the statistics are computed once and stored.
+
+    Pages rank against those that are mostly running prose, so that junk doesn't
+    become less of an outlier by being common.
+    """
+    stats = materialize(text_statistics(pages, text_col, keep))
+    return outlier_scores(stats, peers=stats.filter(F.col("other_share") <= MOST_OTHER))
 
 
 def not_prose(scored: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """Outliers the greater part of whose characters isn't running prose."""
-    return scored.filter((F.col("outlier_score") >= least_score) & (F.col("other_share") > 0.5))
+    return scored.filter((F.col("outlier_score") >= least_score) & (F.col("other_share") > MOST_OTHER))

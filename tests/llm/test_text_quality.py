@@ -64,5 +64,13 @@ def test_found_pages(spark):
     assert found == {1000 + i for i in range(len(CASES))}
 
 
+def test_common_junk_is_found(spark):
+    junk = [("the " * 100).strip(), ("page " * 100).strip(), CASES["list"]]
+    for share, copied in ((2, junk[:1]), (2, junk), (1, junk)):  # up to all pages
+        prose = pages(spark).filter("id < 250") if share == 2 else pages(spark).filter("id < 0")
+        copies = spark.createDataFrame([(5000 + i, copied[i % len(copied)], "x") for i in range(126)], "id long, text string, cell string")
+        assert {r.id for r in not_prose(score_texts(prose.unionByName(copies), "text", ["id"])).collect()} == {5000 + i for i in range(126)}
+
+
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "id long, text string"), "text", ["id"]).count() == 0
