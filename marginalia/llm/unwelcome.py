@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,8 @@ class Normal(dict):
         super().__init__()
         self.known = known
         self.by_shape: dict[tuple[str, int], list[str]] = {}
-        for w in known:
+        listed = prior_words()
+        for w in sorted(known, key=lambda w: (-listed[w][0] if w in listed else 0, w)):  # strong, mild, learnt
             self.by_shape.setdefault((w[:1], len(w)), []).append(w)
 
     def __missing__(self, raw: str) -> tuple[str, ...]:
@@ -123,9 +124,9 @@ class Normal(dict):
         return word
 
     def _masked(self, word: str) -> str | None:
-        """A known word with the same length and visible letters."""
+        """A known word with the same length and visible letters; the strongest listed one before any learnt one."""
         visible = re.compile("".join("." if c == "*" else re.escape(c) for c in word))
-        return next((x for x in sorted(self.by_shape.get((word[:1], len(word)), ())) if visible.fullmatch(x)), None)
+        return next((x for x in self.by_shape.get((word[:1], len(word)), ()) if visible.fullmatch(x)), None)
 
     def segment(self, letters: str) -> list[str] | None:
         """Letters set apart, as known words; None if they aren't."""
@@ -173,6 +174,8 @@ class Model:
     triples: np.ndarray
     decay: float = 1.0
     rate: float = 1.0
+    #: Words that disguises were undone to in learning, besides the listed ones.
+    known: frozenset[str] = frozenset()
 
     #: Bounds of a token's score.
     least, most = -1.0, 4.0
@@ -255,12 +258,12 @@ def _ngrams(tokens: list[str]) -> Iterator[str]:
     yield from map(" ".join, zip(tokens, tokens[1:], tokens[2:]))
 
 
-def _tokenized(labelled: DataFrame) -> DataFrame:
+def _tokenized(labelled: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
     """labelled with its normalised words instead of the text."""
-    known = set(prior_words())
+    shared = labelled.sparkSession.sparkContext.broadcast(known)  # bounded by MOST_FEATURES
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = Normal(known)
+        normal = Normal(shared.value | prior_words().keys())
         for b in batches:
             words = [normal.tokens(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
@@ -390,18 +393,30 @@ def _calibrate(model: Model, labelled: DataFrame) -> Model:
     return Model(**{**model.__dict__, "decay": best[1], "rate": best[2]})
 
 
-def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = None) -> Model:
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, text, label): at most MOST_LABELLED documents."""
+    votes = labels.filter("label IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.avg("label").alias("share")).filter("share <> 0.5")
+    chosen = votes.select("id", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
+    return docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "text", "label")  # at most MOST_LABELLED rows
+
+
+def known_words(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
+    """The words that the labelled documents teach, to which disguises are undone in learning, background and scoring alike."""
+    words = _tokenized(_labelled(docs, labels)).select("label", F.explode(F.array_distinct("words")).alias("word"))
+    counts = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).filter("bad >= 2 OR n >= 3")
+    return frozenset(r["word"] for r in counts.orderBy(F.desc("bad"), F.desc("n"), "word").limit(MOST_FEATURES).collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = None, known: frozenset[str] | None = None) -> Model:
     """A model from reviewers' labels. docs: (id, text); labels: (id, label 0 or 1).
 
     A document's label is the majority of its non-null labels; ties are left
     out. Labels may be missing altogether: then only the listed words count.
     At most MOST_LABELLED labelled documents are used. background: (word, n) over all
-    documents.
+    documents. known: known_words() of the same documents and labels, if already computed.
     """
-    votes = labels.filter("label IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.avg("label").alias("share")).filter("share <> 0.5")
-    chosen = votes.select("id", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
-    labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "text", "label")  # at most MOST_LABELLED rows
-    labelled = materialize(_tokenized(labelled))
+    known = known_words(docs, labels) if known is None else known
+    labelled = materialize(_tokenized(_labelled(docs, labels), known))
     frequencies: dict[str, float] = {}
     if background is not None:
         top = background.orderBy(F.desc("n"), "word").limit(MOST_FEATURES).collect()
@@ -410,16 +425,16 @@ def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = Non
     model: Model | None = None
     for _ in range(ROUNDS):
         model = _calibrate(_fit(labelled, frequencies, model), labelled)
-    return model
+    return replace(model, known=known)
 
 
-def word_background(docs: DataFrame) -> DataFrame:
+def word_background(docs: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
     """(word, n): how often each normalised word occurs in all texts; every partition counts before anything is shuffled."""
-    known = set(prior_words())
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # bounded by MOST_FEATURES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
-        normal = Normal(known)
+        normal = Normal(shared.value | prior_words().keys())
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
@@ -455,7 +470,7 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, k
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        normal = Normal(set(prior_words()) | set(m.vocabulary))
+        normal = Normal(m.known | prior_words().keys())
         look = m.vocabulary.get
         for b in batches:
             words = [normal.tokens(t) if t else [] for t in b.column("_text").to_pylist()]

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.unwelcome import rates, score_documents, source_key, train, word_background
+from marginalia.llm.unwelcome import known_words, rates, score_documents, source_key, train, word_background
 from marginalia.session import table
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", source_key("source").alias("source"))
     labels = table(spark, sf_dir, "review_labels").select(F.col("doc_id").alias("id"), F.col("unwelcome").alias("label"))
-    return score_documents(docs, "id", "text", train(docs, labels, word_background(docs)), ("source",))
+    known = known_words(docs, labels)
+    return score_documents(docs, "id", "text", train(docs, labels, word_background(docs, known), known), ("source",))
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,18 @@ def test_held_out_accuracy_and_rates(spark):
     assert table["s"].unwelcome == 0 and table[None].unwelcome == len([i for i in found if i % 2 == 0])
 
 
+def test_disguises_of_a_trained_model(spark):
+    rows = corpus(400)
+    rows = [(i, t.replace("stone", "salt").replace("fish", "folk").replace("cloud", "deck").replace("moron", "gr*bler" if i % 3 else "grobler"), bad) for i, t, bad in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string")
+    model = train(docs, spark.createDataFrame([(i, bad) for i, _, bad in rows], "id long, label int"), word_background(docs))
+    assert {"salt", "folk", "deck", "grobler"} <= model.vocabulary.keys() and "bler" not in model.vocabulary  # learnt as it is scored
+    pairs = [("THIS ANSWER IS S**T, you f**k.", "THIS ANSWER IS SHIT, you fuck."), ("What a d*ck and b****", "What a dick and bitch"), ("You are a gr*bler and nobody", "You are a grobler and nobody")]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(x for p in pairs for x in p)], "id long, text string")
+    got = [(r.tokens, round(r.best_score, 9), r.passage) for r in score_documents(texts, "id", "text", model).orderBy("id").collect()]
+    assert got[::2] == got[1::2]
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "you stupid fucking idiot"), (2, "the leaf is green")], "id long, text string")
     model = train(docs, spark.createDataFrame([], "id long, label int"))
