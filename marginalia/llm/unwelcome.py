@@ -50,8 +50,6 @@ ROUNDS = 3
 UNKNOWN_WORD = -1.0
 #: Greatest probability at which the best segment of a document is significant.
 SIGNIFICANCE = 1e-4
-#: Fewer words than this aren't a passage: a lone word says too little.
-LEAST_WORDS = 2
 
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнο αε".replace(" ", ""), "aeopcyxijsdhkmtbhoae")
 _LEET = [str.maketrans("013457$@!", "oieastsai"), str.maketrans("013457$@!|", "oleastsail")]
@@ -457,7 +455,7 @@ def word_background(docs: DataFrame, known: frozenset[str] = frozenset()) -> Dat
 def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, tokens, best_score, probability, passages, passage): one row per document.
 
-    passages is the number of significant segments, passage the text between the
+    passages is the number of significant segments of any length, one word included, passage the text between the
     first and last token of the best one, normalised, null if there is none. Null and
     blank texts have 0 tokens, best_score 0 and probability 1. Ids may repeat or
     be null; each row is scored on its own. Further columns are ignored.
@@ -485,7 +483,7 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, k
             count, passage = [0] * len(words), [None] * len(words)
             for i, p in enumerate(chance):
                 if p <= SIGNIFICANCE:
-                    found = [s for s in maximal_segments(scores[starts[i] : starts[i + 1]]) if s[1] - s[0] >= LEAST_WORDS and m.probability(s[2], int(lengths[i])) <= SIGNIFICANCE]
+                    found = [s for s in maximal_segments(scores[starts[i] : starts[i + 1]]) if m.probability(s[2], int(lengths[i])) <= SIGNIFICANCE]
                     count[i] = len(found)
                     if found:
                         a, e, _ = max(found, key=lambda s: s[2])

@@ -1,5 +1,6 @@
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 from hypothesis import given, settings
@@ -84,6 +85,15 @@ def test_disguises_of_a_trained_model(spark):
     assert got[::2] == got[1::2]
 
 
+def test_a_lone_word_is_a_passage(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string")
+    model = replace(train(docs, spark.createDataFrame([(i, bad) for i, _, bad in rows], "id long, label int")), decay=3.0, rate=0.02)
+    texts = spark.createDataFrame([(1, "Asshole."), (2, "The seed is near the river. Asshole! The leaf is near the river."), (3, "The seed is near the river.")], "id long, text string")
+    got = {r.id: r for r in score_documents(texts, "id", "text", model).collect()}
+    assert [(got[i].passages, got[i].passage) for i in (1, 2, 3)] == [(1, "asshole"), (1, "asshole"), (0, None)]
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "you stupid fucking idiot"), (2, "the leaf is green")], "id long, text string")
     model = train(docs, spark.createDataFrame([], "id long, label int"))
