@@ -85,16 +85,26 @@ def text_layer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common-word ratio over at most five prose pages at the quantiles of each result."""
+    """Common-word ratio over at most five prose pages at the quantiles of each result, and whether they are English.
+
+    English takes 0.90 of Latin letters and 0.015 of common words. A result
+    without prose pages has 0 samples and isn't English.
+    """
     prose = _pages(spark, sf_dir).filter(F.regexp_count("text", F.lit(X.LATIN_WORD)) >= 40)
     w = Window.partitionBy("result_id")
     ranked = prose.withColumns({"i": F.row_number().over(w.orderBy("pdf_page_number", "text")) - 1, "n": F.count("*").over(w)})
     picks = [F.floor(F.col("n") * k / 4) for k in (0, 1, 2, 3)] + [F.col("n") - 1]
-    sampled = ranked.filter(F.col("i").isin(*picks)).select("result_id", F.substring("text", 1, 6000).alias("text"))
+    sampled = ranked.filter(F.col("i").isin(*picks)).select("result_id", F.substring("text", 1, 6000).alias("text"))  # the reference's sample
     words = F.transform(F.regexp_extract_all("text", F.lit(X.LATIN_WORD), F.lit(0)), lambda x: F.replace(F.lower(x), F.lit("’"), F.lit("'")))
     common = F.size(F.filter(words, lambda x: x.isin(*X.ENGLISH_COMMON)))
-    m = sampled.groupBy("result_id").agg(F.count("*").alias("samples"), (F.sum(common) / F.greatest(F.sum(F.size(words)), F.lit(1))).alias("ratio"))
-    return m.select("result_id", "samples", F.round("ratio", 6).alias("common_ratio"), (F.col("ratio") >= 0.015).alias("english"))
+    count = lambda kind: F.sum(F.regexp_count("text", F.lit(kind)))
+    m = sampled.groupBy("result_id").agg(
+        F.count("*").alias("samples"), (F.sum(common) / F.greatest(F.sum(F.size(words)), F.lit(1))).alias("ratio"),
+        (count(r"[\p{IsLatin}&&\p{L}]") / F.greatest(count(r"\p{L}"), F.lit(1))).alias("latin"),
+    )
+    every = table(spark, sf_dir, "validation_results").select("result_id").distinct().alias("e")
+    m = every.join(m.alias("m"), F.col("e.result_id").eqNullSafe(F.col("m.result_id")), "left").select("e.result_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("samples", "ratio", "latin")])
+    return m.select("result_id", "samples", F.round("ratio", 6).alias("common_ratio"), ((F.col("latin") >= 0.90) & (F.col("ratio") >= 0.015)).alias("english"))
 
 
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
