@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def paired_delta(pairs: DataFrame, by: str, draws: int = 2000, seed: int = 1729) -> DataFrame:
+def paired_delta(pairs: DataFrame, by: str, draws: int = 10_000, seed: int = 1729) -> DataFrame:
     """Mean difference, 95 % interval and wins, ties and losses per `by`, of (by, stratum, delta, n) with one row per distinct difference.
 
     Differences are counted before they are gathered; a resample draws counts of
