@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.text_quality import STATISTICS, not_prose, score_texts
+from marginalia.llm.text_quality import STATISTICS, score_texts
 from marginalia.session import table
 
 #: Pages of fewer characters after trimming are no cases.
@@ -24,12 +24,12 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every page beside those its validation result keeps."""
     kept = table(spark, sf_dir, "validation_results").groupBy("result_id").agg(F.max(F.struct("loaded_at", *[F.col("metrics").getItem(m).alias(m) for m in ("median_text_characters", "alphabetic_character_ratio", "english_common_word_ratio")])).alias("kept"))
     scored = score_texts(_pages(spark, sf_dir), "text", ["result_id", "pdf_page_number"])
-    return scored.join(kept, "result_id", "left").select("result_id", "pdf_page_number", "language", *STATISTICS, "other_share", "outlier_score", "kept.median_text_characters", "kept.alphabetic_character_ratio", "kept.english_common_word_ratio")
+    return scored.join(kept, "result_id", "left").select("result_id", "pdf_page_number", "language", *STATISTICS, "outlier_score", "not_prose", "kept.median_text_characters", "kept.alphabetic_character_ratio", "kept.english_common_word_ratio")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(_pages(spark, sf_dir), "text", ["result_id", "pdf_page_number"])
-    return not_prose(scored).select("result_id", "pdf_page_number").distinct()
+    return scored.filter("not_prose").select("result_id", "pdf_page_number").distinct()
 
 
 QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores}

@@ -1,7 +1,9 @@
 import math
 import random
 
-from marginalia.llm.text_quality import STATISTICS, _Words, not_prose, outlier_scores, page_statistics, score_texts, text_statistics
+from pyspark.sql import functions as F
+
+from marginalia.llm.text_quality import _FINE, SHRINKAGE, STATISTICS, TRUNCATION, UNSEEN, _Words, outlier_scores, page_statistics, prose_weight, reference_weight, score_texts, surprises, text_statistics
 
 PROSE = "The water in the river is cold because it comes from the hills, and the fish in it are used to that. "
 CASES = {
@@ -30,10 +32,13 @@ FINE = {
 
 def test_what_is_running_prose():
     words = _Words()
+    weight = lambda text: dict(zip(STATISTICS, page_statistics(text, words)[1]))
     for name, text in CASES.items():
-        assert page_statistics(text, words)[2] > 0.5, name
+        x = weight(text)
+        assert x["prose_share"] * x["five_word_novelty"] < 0.5, name
     for name, text in FINE.items():
-        assert page_statistics(text, words)[2] < 0.5, name
+        x = weight(text)
+        assert x["prose_share"] * x["five_word_novelty"] > 0.5, name
     assert page_statistics(FINE["french"], words)[0] == "fr" and page_statistics(FINE["hindi"], words)[0] == "hi" and page_statistics(CASES["symbols"], words)[0] == ""
 
 
@@ -45,23 +50,56 @@ def pages(spark, n=250):
     return spark.createDataFrame(rows, "id long, text string, cell string").repartition(5)
 
 
-def test_scores_are_exact_tail_sums(spark):
-    stats = text_statistics(pages(spark), "text", ["id"])
+def test_tail_probabilities_are_exact(spark):
+    stats = text_statistics(pages(spark), "text", ["id"]).withColumn("_weight", reference_weight(prose_weight()))
     rows = stats.collect()
-    got = {r.id: r.outlier_score for r in outlier_scores(stats, least_pages=200).collect()}
-    assert len(got) == 250 + len(CASES)
-    for r in rows[:: len(rows) // 20]:
-        peers = [x for x in rows if x.language == r.language] if sum(x.language == r.language for x in rows) >= 200 and r.language else rows
-        want = 0.0
-        for s, (_, side) in STATISTICS.items():
-            low, high = sum(x[s] <= r[s] for x in peers) / len(peers), sum(x[s] >= r[s] for x in peers) / len(peers)
-            want -= math.log(low if side == "low" else high if side == "high" else min(1, 2 * min(low, high)))
-        assert abs(got[r.id] - want) < 1e-9
+    assert len(rows) == 250 + len(CASES)
+    got = {(r.language, r.statistic, r.value): (r.n, r.surprise) for r in surprises(stats).collect()}
+    weigh = lambda some: sum(r._weight for r in some) / _FINE
+    seen = set()
+    for i, (s, side) in enumerate(STATISTICS.items()):
+        for r in rows:
+            own = [x for x in rows if x.language == r.language and r.language]
+            tails = []
+            for beyond in (lambda x: x[s] <= r[s], lambda x: x[s] >= r[s]):
+                share = (weigh(filter(beyond, rows)) + UNSEEN) / (weigh(rows) + 1)
+                tails.append((weigh(filter(beyond, own)) + SHRINKAGE * share) / (weigh(own) + SHRINKAGE))
+            p = tails[0] if side == "low" else tails[1] if side == "high" else 2 * min(tails)
+            key = (r.language, i, r[s])
+            if p <= TRUNCATION:
+                assert abs(got[key][1] + math.log(p)) < 1e-9 and got[key][0] == sum(x.language == r.language and x[s] == r[s] for x in rows)
+                seen.add(key)
+            else:
+                assert key not in got
+    assert seen == set(got)
+
+
+def test_a_page_scores_the_sum_of_its_surprises(spark):
+    stats = text_statistics(pages(spark), "text", ["id"])
+    weights = stats.withColumn("_weight", reference_weight(prose_weight()))
+    scored, threshold = outlier_scores(stats)
+    scores = {r.id: r.outlier_score for r in scored.collect()}
+    known = {(r.language, r.statistic, r.value): r.surprise for r in surprises(weights).collect()}
+    for r in weights.collect():
+        assert abs(scores[r.id] - sum(known.get((r.language, i, r[s]), 0.0) for i, s in enumerate(STATISTICS))) < 1e-6
+    assert max(s for i, s in scores.items() if i < 1000) <= threshold < min(s for i, s in scores.items() if i >= 1000)
+
+
+def found(df):
+    return {r.id for r in score_texts(df, "text", ["id"]).filter("not_prose").collect()}
 
 
 def test_found_pages(spark):
-    found = {r.id for r in not_prose(score_texts(pages(spark), "text", ["id"])).collect()}
-    assert found == {1000 + i for i in range(len(CASES))}
+    assert found(pages(spark)) == {1000 + i for i in range(len(CASES))}
+
+
+def test_the_score_decides(spark):
+    """A page of many common words, which the share of running prose alone would pass, is found by its other statistics."""
+    odd = "diffusion in kidneys; oxidation in cells; funnel and gas; prism and stem; fish and pendulum; friction in layers; " * 3
+    rare = spark.createDataFrame([(3000, odd + "droplet and burner", "x")], "id long, text string, cell string")
+    weight = dict(zip(STATISTICS, page_statistics(odd, _Words())[1]))
+    assert weight["prose_share"] == 1.0
+    assert 3000 in found(pages(spark).unionByName(rare))
 
 
 def test_common_junk_is_found(spark):
@@ -69,7 +107,11 @@ def test_common_junk_is_found(spark):
     for share, copied in ((2, junk[:1]), (2, junk), (1, junk)):  # up to all pages
         prose = pages(spark).filter("id < 250") if share == 2 else pages(spark).filter("id < 0")
         copies = spark.createDataFrame([(5000 + i, copied[i % len(copied)], "x") for i in range(126)], "id long, text string, cell string")
-        assert {r.id for r in not_prose(score_texts(prose.unionByName(copies), "text", ["id"])).collect()} == {5000 + i for i in range(126)}
+        assert found(prose.unionByName(copies)) == {5000 + i for i in range(126)}
+
+
+def test_no_junk(spark):
+    assert found(pages(spark).filter("id < 250")) == set()
 
 
 def test_empty(spark):
