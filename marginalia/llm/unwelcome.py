@@ -3,10 +3,12 @@
 Words and their pairs and triples get posterior log-odds of standing in
 unwelcome rather than in fine reviewed text. Counts are smoothed by informative
 Dirichlet priors: single words by their background frequency in all documents and
-by a list of common abusive and explicit words, pairs and triples by their words.
+by a list of common abusive and explicit words, pairs and triples by their parts.
 A linear scan over a document's token scores finds every maximal-scoring segment;
 extreme-value statistics of the fine documents' best segments turn a segment's
-score into a probability, which allows for the document's length.
+score into a probability, which allows for the document's length. In learning, every
+reviewed document is scored without what it added to the counts itself. Features go
+by 64-bit keys.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +45,20 @@ PRIOR_COUNTS = {"strong": (8.0, 0.4), "mild": (3.0, 1.0)}
 #: Pseudo-counts of any other word, of a pair or triple, and per labelled word of a word's background share.
 WORD_PRIOR, NGRAM_PRIOR, BACKGROUND_PRIOR = 2.0, 1.0, 0.001
 
-#: Labelled documents to learn from at most (chosen by hash of the id), and n-grams kept at most.
-MOST_LABELLED, MOST_FEATURES = 50_000, 300_000
+#: Labelled documents to learn from at most (chosen by hash of the id).
+MOST_LABELLED = 50_000
 #: The same for a segment of a document that reviewers call unwelcome to be learned from.
 LIKELY = 0.05
+#: The same at which a document that reviewers call fine is left out of learning.
+DOUBTFUL = 1e-5
 #: Rounds of learning; from the second on only the segments of the round before count as unwelcome.
 ROUNDS = 3
 #: Score of a word that was never counted.
 UNKNOWN_WORD = -1.0
 #: Greatest probability at which the best segment of a document is significant.
-SIGNIFICANCE = 1e-4
+SIGNIFICANCE = 1e-3
+#: Share of the fine documents' best scores above which only their number counts.
+CENSORED = 0.95
 
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнο αε".replace(" ", ""), "aeopcyxijsdhkmtbhoae")
 _LEET = [str.maketrans("013457$@!", "oieastsai"), str.maketrans("013457$@!|", "oleastsail")]
@@ -160,49 +169,59 @@ def prior_words() -> dict[str, tuple[float, float]]:
     return {w: PRIOR_COUNTS[k] for k, ws in (("mild", MILD_WORDS), ("strong", STRONG_WORDS)) for w in ws.split()}
 
 
+class Own(NamedTuple):
+    """Keys that a reviewed document counted in its unwelcome and in its fine text."""
+
+    bad: np.ndarray
+    fine: np.ndarray
+
+
 @dataclass(frozen=True)
 class Model:
-    """Scores by word, and by sorted keys of pairs and triples; extreme-value parameters of a document's best segment."""
-
-    vocabulary: dict[str, int]
-    single: np.ndarray
-    pair_keys: np.ndarray
-    pairs: np.ndarray
-    triple_keys: np.ndarray
-    triples: np.ndarray
+    """Scores by sorted 64-bit key of words, pairs and triples, and extreme-value parameters of a document's best segment."""
+
+    keys: np.ndarray
+    scores: np.ndarray
     decay: float = 1.0
     rate: float = 1.0
+    #: In learning: counts in unwelcome and fine text and the pseudo-counts of both, and which keys are listed words.
+    counts: np.ndarray | None = None
+    listed: np.ndarray | None = None
     #: Words that disguises were undone to in learning, besides the listed ones.
     known: frozenset[str] = frozenset()
 
     #: Bounds of a token's score.
     least, most = -1.0, 4.0
 
-    def _look(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
+    def _look(self, wanted: np.ndarray, own: Own | None) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
             return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = ok & (keys[at] == wanted)
-        return np.where(hit, values[at], 0.0), hit
-
-    def token_scores(self, ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Score of each token of several documents laid end to end; edge marks documents' first tokens.
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        if own is None:
+            return np.where(hit, self.scores[at].astype(np.float64), 0.0), hit
+        bad, fine = self.counts[0][at] - np.isin(wanted, own.bad), self.counts[1][at] - np.isin(wanted, own.fine)
+        more_bad, more_fine = self.counts[2][at].astype(np.float64), self.counts[3][at].astype(np.float64)
+        hit &= (bad + fine > 0) | self.listed[at]
+        return np.where(hit, np.log(np.maximum(bad + more_bad, 1e-9) / np.maximum(fine + more_fine, 1e-9)), 0.0), hit
+
+    def token_scores(self, words: np.ndarray, edge: np.ndarray, own: Own | None = None) -> np.ndarray:
+        """Score of each token of several documents laid end to end; words are word_keys, edge marks documents' first tokens.
 
         A token's score is the mean of what the longest known n-gram ending at it
-        and the longest one beginning at it say.
+        and the longest one beginning at it say. own leaves out what one reviewed
+        document itself added to the counts.
         """
-        n = len(ids)
-        base = self.single[ids]
-        ending, starting = base.copy(), base.copy()
-        size = len(self.single)
-        if n > 1:
-            a, b = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
-            ok = (a > 0) & (b > 0) & ~edge[1:]
-            v, hit = self._look(self.pair_keys, self.pairs, a * size + b, ok)
-            ending[1:][hit], starting[:-1][hit] = v[hit], v[hit]
-        if n > 2:
-            c = ids[2:].astype(np.int64)
-            v, hit = self._look(self.triple_keys, self.triples, (a[:-1] * size + b[:-1]) * size + c, ok[:-1] & ok[1:])
+        v, hit = self._look(words, own)
+        ending = np.where(hit, v, UNKNOWN_WORD)
+        starting = ending.copy()
+        pairs, triples = ngram_keys(words)
+        v, hit = self._look(pairs, own)
+        hit &= ~edge[1:]
+        ending[1:][hit], starting[:-1][hit] = v[hit], v[hit]
+        if len(triples):
+            v, hit = self._look(triples, own)
+            hit &= ~edge[1:-1] & ~edge[2:]
             ending[2:][hit], starting[:-2][hit] = v[hit], v[hit]
         return np.clip((ending + starting) / 2, self.least, self.most)
 
@@ -213,30 +232,59 @@ class Model:
         return -math.expm1(-self.rate * max(1, length) * math.exp(-self.decay * best))
 
 
+class WordKeys(dict):
+    """Word -> 64-bit key."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = k = xxhash.xxh3_64_intdigest(word) >> 1  # positive as BIGINT
+        return k
+
+    def of(self, words: Iterable[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64)
+
+
+_PAIR_STEP, _TRIPLE_STEP, _POSITIVE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 63) - 1)
+
+
+def _join_keys(left: np.ndarray, right: np.ndarray, step: np.uint64) -> np.ndarray:
+    x = left.astype(np.uint64) * step ^ right.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * _PAIR_STEP
+    return ((x ^ (x >> np.uint64(32))) & _POSITIVE).astype(np.int64)
+
+
+def ngram_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs and of the triples of neighbours; a triple's key is made of its two pairs."""
+    pairs = _join_keys(words[:-1], words[1:], _PAIR_STEP)
+    return pairs, _join_keys(pairs[:-1], pairs[1:], _TRIPLE_STEP)
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a sequence, in one linear pass.
+    """All maximal-scoring segments (start, end, score) of a sequence, in linear time.
 
     Disjoint segments, none of which can be extended or improved by its
     neighbours: each candidate is merged with the latest one before it that
-    starts from a lower running sum, as long as that raises the total.
+    starts from a lower running sum, as long as that raises the total. Every
+    candidate keeps a link to that one, so a candidate once passed over is never met again.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, running sum before, running sum behind
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, running sum before, running sum behind, link
     total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + float(s)
+    for i, s in enumerate(scores.tolist()):
+        before, total = total, total + s
         if s <= 0:
             continue
-        start, low, high = i, before, total
+        start, low, j = i, before, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            start, low = found[j][0], found[j][2]
+            start, _, low, _, link = found[j]
             del found[j:]
-        found.append((start, i + 1, low, high))
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            j = link
+        found.append((start, i + 1, low, total, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 def best_scores(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -250,145 +298,217 @@ def best_scores(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ngrams(tokens: list[str]) -> Iterator[str]:
-    """Pairs and triples."""
-    yield from map(" ".join, zip(tokens, tokens[1:]))
-    yield from map(" ".join, zip(tokens, tokens[1:], tokens[2:]))
+def _features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, left, right, size) of the words, pairs and triples of a run of tokens; left and right are the keys of an n-gram's two parts."""
+    pairs, triples = ngram_keys(words)
+    none = np.zeros(len(words), dtype=np.int64)
+    return (
+        np.concatenate([words, pairs, triples]), np.concatenate([none, words[:-1], pairs[:-1]]), np.concatenate([none, words[1:], pairs[1:]]),
+        np.repeat(np.array([1, 2, 3], dtype=np.int8), [len(words), len(pairs), len(triples)]),
+    )
+
+
+def _parts(words: np.ndarray, segments: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The runs of tokens within the segments and those between them."""
+    at, inside, outside = 0, [], []
+    for a, e in segments:
+        outside.append(words[at:a])
+        inside.append(words[a:e])
+        at = e
+    outside.append(words[at:])
+    return [r for r in inside if len(r)], [r for r in outside if len(r)]
+
+
+def _first(n: int) -> np.ndarray:
+    edge = np.zeros(n, dtype=bool)
+    edge[:1] = True
+    return edge
+
+
+def _own(words: np.ndarray, segments: list[tuple[int, int]] | None) -> Own:
+    """What a document adds to the counts; null segments add nothing."""
+    none = np.zeros(0, dtype=np.int64)
+    if segments is None:
+        return Own(none, none)
+    return Own(*[np.unique(np.concatenate([none, *[_features(r)[0] for r in runs]])) for runs in _parts(words, segments)])
+
+
+def _count(documents: Iterable[tuple[np.ndarray, list[tuple[int, int]] | None]]) -> tuple[np.ndarray, ...]:
+    """(key, left, right, size, bad, fine): in how many documents' unwelcome and fine text each feature occurs; key 0 holds the numbers of words.
+
+    documents: tokens and their unwelcome segments; with null segments they are left out.
+    """
+    columns: list[list[np.ndarray]] = [[np.zeros(1, np.int64)] for _ in range(5)]
+    totals = [0, 0]
+    for words, segments in documents:
+        if segments is None:
+            continue
+        for which, runs in enumerate(_parts(words, segments)):
+            if not runs:
+                continue
+            key, left, right, size = (np.concatenate(x) for x in zip(*map(_features, runs)))
+            totals[which] += sum(map(len, runs))
+            key, at = np.unique(key, return_index=True)
+            for c, x in zip(columns, (key, left[at], right[at], size[at], np.full(len(key), which))):
+                c.append(x)
+    key, left, right, size, which = map(np.concatenate, columns)
+    keys, at, of = np.unique(key, return_index=True, return_inverse=True)
+    bad, fine = (np.bincount(of[1:], weights=which[1:] == w, minlength=len(keys)).astype(np.int64) for w in (0, 1))
+    bad[0], fine[0] = totals  # key 0 sorts first
+    return keys, left[at], right[at], size[at], bad, fine
+
+
+def _log_odds(key, left, right, size, bad, fine, background, listed_keys: dict[int, tuple[float, float]]) -> Model:
+    """Posterior log-odds of every counted feature and listed word. Arrays as of _count, with each word's share of all documents' words."""
+    n_bad, n_fine = (int(x[key == 0].sum()) for x in (bad, fine))
+    usual = min(0.2, max(0.02, n_bad / max(1, n_bad + n_fine)))
+    chances: list[tuple[np.ndarray, np.ndarray]] = []
+    keys, counts = [], []
+    for n in (1, 2, 3):
+        m = np.flatnonzero((size == n) & (key != 0))
+        k, b, f = key[m], bad[m].astype(float), fine[m].astype(float)
+        if n == 1:
+            weight = WORD_PRIOR + BACKGROUND_PRIOR * (n_bad + n_fine) * background[m]
+            more_bad, more_fine = usual * weight, (1 - usual) * weight
+            listed = np.array(sorted(listed_keys), dtype=np.int64)
+            unseen = np.setdiff1d(listed, k)
+            k, b, f = np.concatenate([k, unseen]), np.pad(b, (0, len(unseen))), np.pad(f, (0, len(unseen)))
+            more_bad, more_fine = np.pad(more_bad, (0, len(unseen))), np.pad(more_fine, (0, len(unseen)))
+            at = np.flatnonzero(np.isin(k, listed))
+            more_bad[at], more_fine[at] = np.array([listed_keys[int(x)] for x in k[at]]).reshape(-1, 2).T
+        else:
+            known_keys, known = chances[-1]
+            def of(parts: np.ndarray) -> np.ndarray:
+                if not len(known_keys):
+                    return np.full(len(parts), usual)
+                i = np.minimum(np.searchsorted(known_keys, parts), len(known_keys) - 1)
+                return np.where(known_keys[i] == parts, known[i], usual)
+
+            share = (of(left[m]) + of(right[m])) / 2
+            more_bad, more_fine = NGRAM_PRIOR * share, NGRAM_PRIOR * (1 - share)
+        odds = np.log((b + more_bad) / (f + more_fine))
+        order = np.argsort(k)
+        chances.append((k[order], 1 / (1 + np.exp(-odds[order]))))
+        keys.append(k)
+        counts.append(np.array([b, f, more_bad, more_fine]))
+    k, c = np.concatenate(keys), np.concatenate(counts, axis=1)
+    order = np.argsort(k)
+    k, c = k[order], c[:, order]
+    return Model(k, np.log((c[0] + c[2]) / (c[1] + c[3])).astype(np.float32), counts=c.astype(np.float32), listed=np.isin(k, np.fromiter(listed_keys, np.int64)))
+
+
+def fit_extremes(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
+    """(decay, rate) by maximum likelihood, P(best score <= x) = exp(-rate * length * exp(-decay * x)).
+
+    Scores of 0 say only that no segment scored above 0, and those above the CENSORED
+    quantile only that they are above it, as some fine labels are wrong. Without
+    enough scores above 0 the decay is that of exact log-odds, 1.
+    """
+    n = np.maximum(1.0, lengths)
+    top = np.quantile(best, CENSORED) if len(best) else 0.0
+    low, high = best <= 0, best > top
+    mid = ~low & ~high
+    x, n_mid, n_low, n_high = best[mid], n[mid], n[low].sum(), n[high]
+
+    def at(decay: float) -> tuple[float, float]:
+        """(log-likelihood, rate) at the best rate, which solves a monotone equation."""
+        e = n_low + (n_mid * np.exp(-decay * x)).sum()
+        h = n_high * math.exp(-decay * top)
+        lo, hi = 1e-12, 1e6
+        for _ in range(100):
+            rate = math.sqrt(lo * hi)
+            gain = len(x) / rate - e + (h / np.expm1(np.minimum(rate * h, 700))).sum()
+            lo, hi = (rate, hi) if gain > 0 else (lo, rate)
+        return len(x) * math.log(decay * rate) - decay * x.sum() - rate * e + np.log(-np.expm1(-rate * h)).sum(), rate
+
+    if len(x) < 20:
+        return 1.0, (at(1.0)[1] if len(best) else 0.02)
+    a, b = -8.0, 8.0  # of log2(decay)
+    for _ in range(80):
+        c, d = a + 0.382 * (b - a), a + 0.618 * (b - a)
+        a, b = (a, d) if at(2**c)[0] >= at(2**d)[0] else (c, b)
+    decay = 2 ** ((a + b) / 2)
+    return decay, at(decay)[1]
 
 
 def _tokenized(labelled: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
-    """labelled with its normalised words instead of the text."""
-    shared = labelled.sparkSession.sparkContext.broadcast(known)  # bounded by MOST_FEATURES
+    """(label, tokens): the keys of each text's normalised words."""
+    shared = labelled.sparkSession.sparkContext.broadcast(known)  # words of at most MOST_LABELLED documents
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = Normal(shared.value | prior_words().keys())
+        normal, keys = Normal(shared.value | prior_words().keys()), WordKeys()
         for b in batches:
-            words = [normal.tokens(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+            words = [keys.of(normal.tokens(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.int64()))], names=["label", "tokens"])
+
+    return labelled.select("text", "label").mapInArrow(split, "label int, tokens array<long>")
+
 
-    return labelled.select("text", "label").mapInArrow(split, "label int, words array<string>")
+_CANDIDATES = "array<struct<start:int,stop:int,score:double>>"
 
 
-def _count(labelled: DataFrame, model: Model | None) -> DataFrame:
-    """(feature, size, bad, fine): how many documents have a word, pair or triple (size 1 to 3) in unwelcome and in fine text.
+def _segments(label: int, tokens: np.ndarray, candidates: list[dict] | None, model: Model | None) -> list[tuple[int, int]] | None:
+    """What of a reviewed document counts as unwelcome; null if its label is doubtful.
 
-    Size 0 holds the numbers of words. With a model, unwelcome text is what its
-    likely segments cover in unwelcome documents, and the rest of those counts
-    as fine. Unwelcome documents without a likely segment and fine ones with a
-    significant one may be wrongly labelled and are left out.
+    Without a model an unwelcome document counts as a whole, with one only its likely
+    segments do. Unwelcome documents without a likely segment and fine ones with one that
+    is next to impossible in fine text may be wrongly labelled.
     """
+    if model is None or candidates is None:
+        return [(0, len(tokens))] if label else []
+    least = LIKELY if label else DOUBTFUL
+    found = [(c["start"], c["stop"]) for c in candidates if model.probability(c["score"], len(tokens)) <= least]
+    return None if bool(found) != bool(label) else found
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, fine = Counter(), Counter()
-        for b in batches:
-            for tokens, label in zip(b.column("words").to_pylist(), b.column("label").to_pylist()):
-                parts: list[tuple[list[str], int]] = [(tokens, label)]
-                if model is not None and tokens:
-                    scores = _scores(model, tokens)
-                    least = LIKELY if label else SIGNIFICANCE
-                    segments = [s for s in maximal_segments(scores) if model.probability(s[2], len(tokens)) <= least] if label or (scores > 0).any() else []
-                    if bool(segments) != bool(label):
-                        continue
-                    if label == 1:
-                        at, parts = 0, []
-                        for a, e, _ in segments:
-                            parts += [(tokens[at:a], 0), (tokens[a:e], 1)]
-                            at = e
-                        parts.append((tokens[at:], 0))
-                for counts, which in ((fine, 0), (bad, 1)):
-                    chosen = [part for part, w in parts if w == which]
-                    counts.update({x for part in chosen for x in part})
-                    counts.update({x for part in chosen for x in _ngrams(part)})
-                    counts[""] += sum(map(len, chosen))
-        names = list(bad.keys() | fine.keys())
-        sizes = [x.count(" ") + 1 if x else 0 for x in names]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array([bad[x] for x in names], pa.int64()), pa.array([fine[x] for x in names], pa.int64())], names=["feature", "size", "bad", "fine"])
-
-    parts = labelled.mapInArrow(count, "feature string, size int, bad long, fine long")
-    return parts.groupBy("feature", "size").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).filter("size = 0 OR bad >= 2 OR bad + fine >= 3")
-
-
-def _scores(model: Model, tokens: list[str]) -> np.ndarray:
-    ids = np.fromiter((model.vocabulary.get(t, 0) for t in tokens), dtype=np.int32, count=len(tokens))
-    edge = np.zeros(len(ids), dtype=bool)
-    if len(edge):
-        edge[0] = True
-    return model.token_scores(ids, edge)
-
-
-def _fit(labelled: DataFrame, background: dict[str, float], previous: Model | None) -> Model:
-    """Log-odds of one round. Bounded: MOST_FEATURES features reach the driver."""
-    prior = prior_words()
-    counts = materialize(_count(labelled, previous))
-    words = counts.filter("size <= 1").orderBy("size", F.desc("bad"), F.desc("fine"), "feature").limit(MOST_FEATURES)
-    rows = {r["feature"]: (r["bad"], r["fine"]) for r in words.collect()}
-    n_bad, n_fine = rows.pop("", (0, 0))
-    usual = min(0.2, max(0.02, n_bad / max(1, n_bad + n_fine)))
-    odds: dict[str, float] = {}
-    for w in rows.keys() | prior.keys():
-        bad, fine = rows.get(w, (0, 0))
-        weight = WORD_PRIOR + BACKGROUND_PRIOR * (n_bad + n_fine) * background.get(w, 0.0)
-        more_bad, more_fine = prior.get(w) or (usual * weight, (1 - usual) * weight)
-        odds[w] = math.log((bad + more_bad) / (fine + more_fine))
-    telling = {w for w, s in odds.items() if s > -1.0}
-    spark = labelled.sparkSession
-    tell = spark.createDataFrame([(w,) for w in sorted(telling)] or [("",)], "word string")
-    grams = counts.filter("size > 1").withColumn("words", F.split("feature", " "))
-    matching = grams.select("feature", F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(tell), "word").select("feature").distinct().withColumn("hit", F.lit(True))
-    kept = grams.join(matching, "feature", "left").filter("bad >= 2 OR hit").drop("hit")
-    many = kept.orderBy(F.desc("bad"), F.desc("fine"), "feature").limit(MOST_FEATURES).collect()
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(odds))}
-    single = np.full(len(vocabulary) + 1, UNKNOWN_WORD)
-    for w, i in vocabulary.items():
-        single[i] = odds[w]
-    size = len(single)
-    chance = {w: 1 / (1 + math.exp(-x)) for w, x in odds.items()}
-    pairs, triples = [], []
-    for r in sorted(many, key=lambda r: len(r["words"])):  # pairs first: they are the prior of triples
-        ws = r["words"]
-        if len(ws) not in (2, 3) or any(w not in vocabulary for w in ws):
-            continue
-        parts = ws if len(ws) == 2 else [" ".join(ws[:2]), " ".join(ws[1:])]
-        share = sum(chance.get(x, usual) for x in parts) / 2
-        bad, fine = r["bad"] + NGRAM_PRIOR * share, r["fine"] + NGRAM_PRIOR * (1 - share)
-        chance[" ".join(ws)] = bad / (bad + fine)
-        key = 0
-        for w in ws:
-            key = key * size + vocabulary[w]
-        (pairs if len(ws) == 2 else triples).append((key, math.log(bad / fine)))
-    pairs.sort()
-    triples.sort()
-    column = lambda rows, i, kind: np.array([r[i] for r in rows], dtype=kind)
-    return Model(vocabulary, single, column(pairs, 0, np.int64), column(pairs, 1, float), column(triples, 0, np.int64), column(triples, 1, float))
-
-
-def _calibrate(model: Model, labelled: DataFrame) -> Model:
-    """Extreme-value parameters from the best segments of the fine documents.
-
-    A document's best score x has P(best <= x) = exp(-rate * length * exp(-decay * x)).
-    Both parameters are fitted by maximum likelihood to the lower 95 % of the
-    scores, as some fine labels are wrong.
+
+def _reviewed(b: pa.RecordBatch, model: Model | None) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]] | None]]:
+    for label, tokens, candidates in zip(b.column("label").to_pylist(), b.column("tokens"), b.column("candidates").to_pylist()):
+        words = tokens.values.to_numpy(zero_copy_only=False)
+        yield label, words, _segments(label, words, candidates, model)
+
+
+def _counted(state: DataFrame, model: Model | None) -> tuple[np.ndarray, ...]:
+    """_count over all reviewed documents; every partition counts on its own before anything is shuffled.
+
+    The result has the features of at most MOST_LABELLED documents, whatever the tables' size.
     """
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "lhs", "rhs", "size", "bad", "fine"]
+    calibrated = None if model is None else Model(model.keys[:0], model.scores[:0], model.decay, model.rate)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((words, segments) for b in batches for _, words, segments in _reviewed(b, calibrated))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _count(rows)], names=names)
+
+    parts = state.mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    sums = parts.groupBy("key").agg(*[F.max(n).cast("int" if n == "size" else "long").alias(n) for n in names[1:4]], F.sum("bad").cast("int").alias("bad"), F.sum("fine").cast("int").alias("fine"))
+    t = sums.toArrow()
+    return tuple(t.column(n).to_numpy() for n in names)
+
+
+def _rescored(state: DataFrame, model: Model, before: Model | None) -> DataFrame:
+    """The reviewed documents with the maximal segments the model sees, each without what the document itself added to the counts."""
+    shared = state.sparkSession.sparkContext.broadcast(model)  # features of at most MOST_LABELLED documents
+    calibrated = None if before is None else Model(before.keys[:0], before.scores[:0], before.decay, before.rate)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for b in batches:
-            words = [w for w in b.column("words").to_pylist() if w]
-            scores = [_scores(model, w) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([float(best_scores(s, np.array([0, len(s)]))[0]) for s in scores], pa.float64()), pa.array(list(map(len, words)), pa.int32())], names=["best_score", "tokens"])
-
-    scored = labelled.filter("label = 0").mapInArrow(best, "best_score double, tokens int")
-    got = np.array([(r["best_score"], r["tokens"]) for r in scored.orderBy("best_score", "tokens").limit(MOST_LABELLED).collect()], dtype=float).reshape(-1, 2)
-    if len(got) < 20:
-        return Model(**{**model.__dict__, "decay": 0.8, "rate": 0.02})
-    got = got[: max(20, int(len(got) * 0.95))]
-    x, n = got[:, 0], got[:, 1]
-    best = None
-    for decay in np.geomspace(0.2, 3.0, 60):
-        e = n * np.exp(-decay * x)
-        rate = len(x) / e.sum()
-        likelihood = len(x) * math.log(decay) + len(x) * math.log(rate) - decay * x.sum() - rate * e.sum()
-        if best is None or likelihood > best[0]:
-            best = (likelihood, float(decay), float(rate))
-    return Model(**{**model.__dict__, "decay": best[1], "rate": best[2]})
+            found = []
+            for _, words, segments in _reviewed(b, calibrated):
+                scores = m.token_scores(words, _first(len(words)), _own(words, segments))
+                found.append([{"start": x, "stop": y, "score": z} for x, y, z in maximal_segments(scores)])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("tokens"), pa.array(found, kind)], names=["label", "tokens", "candidates"])
+
+    return materialize(state.mapInArrow(score, f"label int, tokens array<long>, candidates {_CANDIDATES}"))
+
+
+def _calibrate(model: Model, state: DataFrame) -> Model:
+    """Extreme-value parameters from the best segments of the reviewed fine documents (at most MOST_LABELLED)."""
+    best = F.coalesce(F.array_max(F.transform("candidates", lambda c: c["score"])), F.lit(0.0))
+    t = state.filter("label = 0 AND size(tokens) > 0").select(best.alias("best"), F.size("tokens").alias("n")).toArrow()
+    decay, rate = fit_extremes(t.column("best").to_numpy(), t.column("n").to_numpy())
+    return replace(model, decay=decay, rate=rate)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -399,10 +519,16 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def known_words(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
-    """The words that the labelled documents teach, to which disguises are undone in learning, background and scoring alike."""
-    words = _tokenized(_labelled(docs, labels)).select("label", F.explode(F.array_distinct("words")).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).filter("bad >= 2 OR n >= 3")
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("bad"), F.desc("n"), "word").limit(MOST_FEATURES).collect())
+    """The words that two reviewed documents or more have in common, to which disguises are undone in learning, background and scoring alike."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = Normal(prior_words().keys())
+        for b in batches:
+            each = [w for t in b.column("text").to_pylist() for w in set(normal.tokens(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string())], names=["word"])
+
+    words = _labelled(docs, labels).select("text").mapInArrow(split, "word string")
+    return frozenset(r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = None, known: frozenset[str] | None = None) -> Model:
@@ -410,46 +536,56 @@ def train(docs: DataFrame, labels: DataFrame, background: DataFrame | None = Non
 
     A document's label is the majority of its non-null labels; ties are left
     out. Labels may be missing altogether: then only the listed words count.
-    At most MOST_LABELLED labelled documents are used. background: (word, n) over all
-    documents. known: known_words() of the same documents and labels, if already computed.
+    At most MOST_LABELLED labelled documents are used, with all their words, pairs and
+    triples. background: (key, n) over all documents. known: known_words() of the same
+    documents and labels, if already computed.
     """
     known = known_words(docs, labels) if known is None else known
-    labelled = materialize(_tokenized(_labelled(docs, labels), known))
-    frequencies: dict[str, float] = {}
+    state = materialize(_tokenized(_labelled(docs, labels), known).withColumn("candidates", F.lit(None).cast(_CANDIDATES)))
+    word_keys = WordKeys()
+    listed = {word_keys[w]: v for w, v in prior_words().items()}
+    keys, shares = np.zeros(0, np.int64), np.zeros(0)
     if background is not None:
-        top = background.orderBy(F.desc("n"), "word").limit(MOST_FEATURES).collect()
-        total = sum(r["n"] for r in top) or 1
-        frequencies = {r["word"]: r["n"] / total for r in top}
+        learnt = state.select(F.explode("tokens").alias("key")).distinct().withColumn("_hit", F.lit(True))
+        used = background.join(learnt, "key", "left").groupBy(F.when(F.col("_hit"), F.col("key")).otherwise(0).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # one row per labelled word, one for all others
+        keys, n = used.column("key").to_numpy(), used.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, shares = keys[order], n[order] / max(1, n.sum())
     model: Model | None = None
     for _ in range(ROUNDS):
-        model = _calibrate(_fit(labelled, frequencies, model), labelled)
-    return replace(model, known=known)
+        counts = _counted(state, model)
+        at = np.minimum(np.searchsorted(keys, counts[0]), max(0, len(keys) - 1))
+        frequency = np.where(keys[at] == counts[0], shares[at], 0.0) if len(keys) else np.zeros(len(counts[0]))
+        after = _log_odds(*counts, frequency, listed)
+        state = _rescored(state, after, model)
+        model = _calibrate(after, state)
+    return replace(model, counts=None, listed=None, known=known)
 
 
 def word_background(docs: DataFrame, known: frozenset[str] = frozenset()) -> DataFrame:
-    """(word, n): how often each normalised word occurs in all texts; every partition counts before anything is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # bounded by MOST_FEATURES
+    """(key, n): how often each normalised word occurs in all texts; every partition counts before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # words of at most MOST_LABELLED documents
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
-        normal = Normal(shared.value | prior_words().keys())
+        normal, keys = Normal(shared.value | prior_words().keys()), WordKeys()
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
                     raw.update(text.split())
             if len(raw) > 2_000_000:
-                yield _batch(raw, normal)
+                yield _batch(raw, normal, keys)
                 raw.clear()
-        yield _batch(raw, normal)
+        yield _batch(raw, normal, keys)
 
-    def _batch(raw: Counter, normal: Normal) -> pa.RecordBatch:
+    def _batch(raw: Counter, normal: Normal, keys: WordKeys) -> pa.RecordBatch:
         words: Counter = Counter()
         for w, n in raw.items():
             for t in normal[w]:
-                words[t] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                words[keys[t]] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -464,20 +600,18 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, k
     names = ["id", *keep, "tokens", "best_score", "probability", "passages", "passage"]
     kept = [rows.schema[c] for c in ["id", *keep]]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "tokens int, best_score double, probability double, passages int, passage string"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of at most MOST_LABELLED documents
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        normal = Normal(m.known | prior_words().keys())
-        look = m.vocabulary.get
+        normal, keys = Normal(m.known | prior_words().keys()), WordKeys()
         for b in batches:
             words = [normal.tokens(t) if t else [] for t in b.column("_text").to_pylist()]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            ids = np.fromiter((look(t, 0) for w in words for t in w), dtype=np.int32, count=int(starts[-1]))
-            edge = np.zeros(len(ids) + 1, dtype=bool)
+            edge = np.zeros(int(starts[-1]) + 1, dtype=bool)
             edge[starts] = True
-            scores = m.token_scores(ids, edge[:-1])
+            scores = m.token_scores(keys.of(chain.from_iterable(words)), edge[:-1])
             best = best_scores(scores, starts)
             chance = [m.probability(x, n) for x, n in zip(best, lengths)]
             count, passage = [0] * len(words), [None] * len(words)

@@ -1,12 +1,14 @@
 import itertools
+import math
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm.unwelcome import Normal, best_scores, maximal_segments, prior_words, rates, score_documents, train, word_background
+from marginalia.llm.unwelcome import Normal, WordKeys, best_scores, fit_extremes, maximal_segments, prior_words, rates, score_documents, train, word_background
 
 
 def slow_segments(scores):
@@ -32,6 +34,30 @@ def test_segments_match_their_definition(scores):
     assert all(a1 < b1 <= a2 for (a1, b1, _), (a2, _, _) in zip(got, got[1:]))
 
 
+def test_segments_take_linear_time():
+    def seconds(n):
+        rows = [np.array([0.5, -1.0] * n), np.array([-1.0, 0.5] * n), np.array([0.6, -0.5] * n), np.concatenate([np.tile([1.0, -1.5], n // 2), np.tile([1.5, -1.0], n // 2)])]
+        began = time.process_time()
+        for r in rows:
+            maximal_segments(r)
+        return time.process_time() - began
+
+    seconds(1000)
+    short, long = min(seconds(20_000) for _ in range(3)), min(seconds(160_000) for _ in range(2))
+    assert long < 20 * short  # 8 times the length; quadratic would be 64 times
+
+
+def test_extreme_value_fit():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 400, 20_000)
+    for decay, rate in ((0.7, 0.01), (1.3, 0.002), (4.0, 0.05)):
+        x = np.maximum(0.0, (np.log(rate * n) + rng.gumbel(size=len(n))) / decay)
+        x[:100] += 40  # wrong labels
+        got = fit_extremes(x, n)
+        assert abs(math.log(got[0] / decay)) < 0.1 and abs(math.log(got[1] / rate)) < 0.2
+    assert fit_extremes(np.zeros(0), np.zeros(0))[0] == 1.0 and fit_extremes(np.zeros(9), np.ones(9))[1] < 0.1
+
+
 def test_disguises():
     n = Normal(set(prior_words()))
     for raw, want in {"F.U.C.K": "fuck", "sh​it": "shit", "mоrоn,": "moron", "b*****d": "bastard", "s**t": "shit", "idiiiiot!": "idiot", "p4th3t1c": "pathetic", "dumb4$$,": "dumbass", "sc-um": "scum", "shit_head": "shithead", "BI*TCH": "bitch", "asshhhhole": "asshole"}.items():
@@ -78,7 +104,8 @@ def test_disguises_of_a_trained_model(spark):
     rows = [(i, t.replace("stone", "salt").replace("fish", "folk").replace("cloud", "deck").replace("moron", "gr*bler" if i % 3 else "grobler"), bad) for i, t, bad in rows]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string")
     model = train(docs, spark.createDataFrame([(i, bad) for i, _, bad in rows], "id long, label int"), word_background(docs))
-    assert {"salt", "folk", "deck", "grobler"} <= model.vocabulary.keys() and "bler" not in model.vocabulary  # learnt as it is scored
+    keys, learnt = WordKeys(), set(model.keys.tolist())
+    assert {keys[w] for w in ("salt", "folk", "deck", "grobler")} <= learnt and keys["bler"] not in learnt  # learnt as it is scored
     pairs = [("THIS ANSWER IS S**T, you f**k.", "THIS ANSWER IS SHIT, you fuck."), ("What a d*ck and b****", "What a dick and bitch"), ("You are a gr*bler and nobody", "You are a grobler and nobody")]
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(x for p in pairs for x in p)], "id long, text string")
     got = [(r.tokens, round(r.best_score, 9), r.passage) for r in score_documents(texts, "id", "text", model).orderBy("id").collect()]
