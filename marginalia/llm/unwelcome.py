@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import chain
 from typing import NamedTuple
 
@@ -193,11 +194,36 @@ class Model:
     #: Bounds of a token's score.
     least, most = -1.0, 4.0
 
+    @cached_property
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position of a key by its lowest bits (-1: none), whether several keys share them, and those keys' positions, sorted by key."""
+        size = 1 << max(1, (4 * len(self.keys)).bit_length())
+        slot = self.keys & (size - 1)
+        at = np.full(size, -1, dtype=np.int32)
+        at[slot] = np.arange(len(self.keys), dtype=np.int32)
+        second = np.flatnonzero(at[slot] != np.arange(len(self.keys)))
+        shared = np.zeros(size, dtype=bool)
+        shared[slot[second]] = True
+        return at, shared, second
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, whether it is there) of keys: one look by their lowest bits, a search only where several keys share them."""
+        at, shared, second = self._slots
+        slot = wanted & (len(at) - 1)
+        found = at[slot]
+        hit = (found >= 0) & (self.keys[found] == wanted)
+        again = np.flatnonzero(~hit & shared[slot])
+        if len(again):
+            keys = self.keys[second]
+            i = np.minimum(np.searchsorted(keys, wanted[again]), len(keys) - 1)
+            ok = keys[i] == wanted[again]
+            found[again[ok]], hit[again[ok]] = second[i[ok]], True
+        return found, hit
+
     def _look(self, wanted: np.ndarray, own: Own | None) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
             return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        hit = self.keys[at] == wanted
+        at, hit = self._find(wanted)
         if own is None:
             return np.where(hit, self.scores[at].astype(np.float64), 0.0), hit
         bad, fine = self.counts[0][at] - np.isin(wanted, own.bad), self.counts[1][at] - np.isin(wanted, own.fine)

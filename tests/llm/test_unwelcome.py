@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm.unwelcome import Normal, WordKeys, best_scores, fit_extremes, maximal_segments, prior_words, rates, score_documents, train, word_background
+from marginalia.llm.unwelcome import Model, Normal, WordKeys, best_scores, fit_extremes, maximal_segments, prior_words, rates, score_documents, train, word_background
 
 
 def slow_segments(scores):
@@ -128,3 +128,13 @@ def test_without_labels(spark):
     assert got[1] > got[2] == 0
     none = spark.createDataFrame([], "id long, text string")
     assert score_documents(none, "id", "text", train(none, spark.createDataFrame([], "id long, label int"), word_background(none))).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 300)), st.lists(st.integers(0, 300)))
+def test_keys_are_found(keys, wanted):
+    """Small keys share their lowest bits often."""
+    m = Model(np.array(sorted(k << 3 for k in keys), dtype=np.int64), np.arange(len(keys), dtype=np.float32))
+    values, hit = m._look(np.array([w << 3 for w in wanted], dtype=np.int64), None)
+    want = {k: i for i, k in enumerate(sorted(keys))}
+    assert [(v, h) for v, h in zip(values, hit)] == [(float(want.get(w, 0)), w in want) for w in wanted]
