@@ -7,7 +7,9 @@ group has at most depth x sources rows, whatever the table's size.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -36,30 +38,34 @@ def pool(hits: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def cluster(rows: list[dict], threshold: float = THRESHOLD) -> list[list[dict]]:
-    """Rows in order, each joined to the first cluster that holds the same evidence.
+    """Rows in order, each joined to the oldest cluster that holds the same evidence.
 
     Same evidence: one book, a shared page, and shingles of which the smaller
     set's share in the other reaches the threshold; or the same candidate id.
+    An index of pages and one of shingles name the earlier rows that come into question.
     """
-    marks = [shingle_set(r["text"]) for r in rows]
-    pages = [set(r["pdf_pages"] or ()) for r in rows]
-    groups: list[list[int]] = []
-
-    def same(i: int, j: int) -> bool:
-        if rows[i]["book_id"] != rows[j]["book_id"] or not pages[i] & pages[j]:
-            return False
-        if rows[i]["candidate_id"] == rows[j]["candidate_id"]:
-            return True
-        small = min(len(marks[i]), len(marks[j]))
-        return small > 0 and len(marks[i] & marks[j]) >= threshold * small
-
-    for i in range(len(rows)):
-        home = next((g for g in groups if any(same(i, j) for j in g)), None)
-        if home is None:
-            groups.append([i])
-        else:
-            home.append(i)
-    return [[rows[i] for i in g] for g in groups]
+    on_page: dict[tuple, list[int]] = defaultdict(list)
+    with_shingle: dict[tuple, list[int]] = defaultdict(list)
+    sizes: list[int] = []
+    home: list[int] = []
+    out: list[list[dict]] = []
+    for i, row in enumerate(rows):
+        places = [(row["book_id"], p) for p in set(row["pdf_pages"] or ())]
+        near = set(chain.from_iterable(on_page[x] for x in places))
+        marks = shingle_set(row["text"])
+        common = Counter(j for m in marks for j in with_shingle[m] if j in near) if near else Counter()
+        alike = {j for j, n in common.items() if n >= threshold * min(sizes[j], len(marks))}
+        alike |= {j for j in near if rows[j]["candidate_id"] == row["candidate_id"]}
+        home.append(min((home[j] for j in alike), default=len(out)))
+        if home[i] == len(out):
+            out.append([])
+        out[home[i]].append(row)
+        sizes.append(len(marks))
+        for x in places:
+            on_page[x].append(i)
+        for m in marks:
+            with_shingle[m].append(i)
+    return out
 
 
 def merged(rows: list[dict], threshold: float = THRESHOLD) -> list[dict]:
@@ -74,42 +80,51 @@ def merged(rows: list[dict], threshold: float = THRESHOLD) -> list[dict]:
     return sorted(out, key=lambda c: (-c["fused"], c["candidate_id"]))
 
 
+def _overlaps(clusters: list[dict]) -> np.ndarray:
+    """Jaccard of every two clusters' words, by one product of their word indicators; 0 where either has none."""
+    ids: dict[str, int] = {}
+    bags = [{ids.setdefault(w, len(ids)) for w in words(c["text"])} for c in clusters]
+    has = np.zeros((len(bags), len(ids)), dtype=np.float32)
+    for row, bag in zip(has, bags):
+        row[list(bag)] = 1
+    both = has @ has.T
+    size = np.diag(both)
+    either = size[:, None] + size[None, :] - both
+    return np.divide(both, either, out=np.zeros_like(both), where=both > 0).astype(np.float64)
+
+
 def diverse(clusters: list[dict], budget: int, relevance: float = 0.7) -> list[dict]:
     """Maximal marginal relevance: scaled fused score against the greatest token similarity to what is chosen."""
     if not clusters:
         return []
     score = np.array([c["fused"] for c in clusters])
-    scaled = (score - score.min()) / (score.max() - score.min()) if score.max() > score.min() else np.ones(len(score))
-    bags = [set(words(c["text"])) for c in clusters]
-    nearest, left, chosen = [0.0] * len(clusters), list(range(len(clusters))), []
-    while left and len(chosen) < budget:
-        i = min(left, key=lambda i: (-(relevance * scaled[i] - (1 - relevance) * nearest[i]), -score[i], clusters[i]["candidate_id"]))
-        left.remove(i)
-        chosen.append(clusters[i])
-        for j in left:
-            if bags[i] and bags[j]:
-                nearest[j] = max(nearest[j], len(bags[i] & bags[j]) / len(bags[i] | bags[j]))
-    return chosen
+    low, span = score.min(), np.ptp(score)
+    worth = relevance * ((score - low) / span if span else np.ones(len(score)))
+    alike, nearest = _overlaps(clusters), np.zeros(len(score))
+    by_name = np.argsort(np.argsort([c["candidate_id"] for c in clusters], kind="stable"))
+    order: list[int] = []
+    for _ in range(min(budget, len(score))):
+        gain = worth - (1 - relevance) * nearest
+        gain[order] = -np.inf
+        pick = int(np.lexsort((by_name, -score, -gain))[0])
+        order.append(pick)
+        nearest = np.maximum(nearest, alike[pick])
+    return [clusters[i] for i in order]
 
 
 def quota(clusters: list[dict], budget: int) -> list[dict]:
     """An equal quota per source, then one per source in turn, then the best of the rest."""
-    sources = sorted({s for c in clusters for s in c["ranks"]})
-    lists = {s: sorted((c for c in clusters if s in c["ranks"]), key=lambda c: (c["ranks"][s], c["candidate_id"])) for s in sources}
-    chosen: dict[int, dict] = {}
-    for n, s in enumerate(sources):
-        room = budget // len(sources) + (n < budget % len(sources))
-        for c in lists[s]:
-            if room <= 0:
-                break
-            room -= id(c) not in chosen
-            chosen.setdefault(id(c), c)
-    turns = [lists[s][i] for i in range(max(map(len, lists.values()), default=0)) for s in sources if i < len(lists[s])]
-    for c in [*turns, *clusters]:
-        if len(chosen) >= budget:
-            break
-        chosen.setdefault(id(c), c)
-    return list(chosen.values())[:budget]
+    lists: dict[str, list[int]] = {}
+    for s in sorted(set(chain.from_iterable(c["ranks"] for c in clusters))):
+        having = [i for i, c in enumerate(clusters) if s in c["ranks"]]
+        lists[s] = sorted(having, key=lambda i: (clusters[i]["ranks"][s], clusters[i]["candidate_id"]))
+    order: dict[int, None] = {}
+    for n, own in enumerate(lists.values()):
+        share, extra = divmod(budget, len(lists))
+        order |= dict.fromkeys(list(islice((i for i in own if i not in order), share + (n < extra))))
+    in_turn = (i for i in chain.from_iterable(zip_longest(*lists.values())) if i is not None)
+    order |= dict.fromkeys(chain(in_turn, range(len(clusters))))
+    return [clusters[i] for i in islice(order, budget)]
 
 
 def distinct_pages(clusters: list[dict], budget: int) -> list[dict]:

@@ -24,7 +24,7 @@ from marginalia.operators import bitmaps
 from marginalia.operators.ranks import dense_ids
 from marginalia.session import materialize
 
-#: A key with at least this share of all references is matched by broadcast instead of by shuffle; there are at most 1/share of them.
+#: A key's references of one source and month are matched by broadcast instead of by shuffle if they are at least this share of all; there are at most 1/share of such groups.
 HOT_SHARE = 0.001
 _ALWAYS, _UNKNOWN = -(1 << 30), 1 << 30
 
@@ -127,12 +127,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     suspects = left.join(ids, "id").join(groups, ["key", "source", "period"]).join(parents, "key", "left")
     suspects = materialize(suspects.select("key", "source", "period", "n", "exists", "born", "died"))
 
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = suspects.filter(F.col("n") >= max(1, int(total * HOT_SHARE)))
-    cold = suspects.filter(F.col("n") < max(1, int(total * HOT_SHARE)))
+    # what a hot key holds in one month never enters the shuffle, whether it is suspect or not; there are at most 1 / HOT_SHARE such groups
+    least = max(1, int((groups.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     on = ["key", "source", "period"]
-    by_broadcast = refs.join(F.broadcast(hot.drop("n")), on)
-    by_shuffle = refs.join(cold.drop("n"), on)
+    hot = groups.filter(F.col("n") >= least).select(*on).join(suspects.drop("n").withColumn("_suspect", F.lit(True)), on, "left")
+    by_broadcast = refs.join(F.broadcast(hot.filter("_suspect").drop("_suspect")), on)
+    by_shuffle = refs.join(F.broadcast(hot.select(*on)), on, "left_anti").join(suspects.filter(F.col("n") < least).drop("n"), on)
     reason = (
         F.when(~F.col("exists"), F.lit("missing"))
         .when(F.col("died") <= F.col("at"), F.lit("deleted"))

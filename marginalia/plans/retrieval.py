@@ -16,8 +16,7 @@ RUN_SCORES = {"required_point_coverage": True, "citation_validity": True, "unsup
 def bm25_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents for the stated query set: the query texts of every hundredth query id."""
     q = table(spark, sf_dir, "candidates").filter(f"query_id % {QUERY_STEP} = 0 AND query_text IS NOT NULL").groupBy(F.lower(F.trim(F.regexp_replace("query_text", r"\s+", " "))).alias("text")).agg(F.min("query_id").alias("query_id"))
-    s = R.bm25_scores(table(spark, sf_dir, "documents"), q).withColumn("score", F.round("score", 6))
-    return R.top_by(s, "query_id", [F.desc("score"), F.col("doc_id")], 10)
+    return R.bm25_top(table(spark, sf_dir, "documents"), q, 10)
 
 
 def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

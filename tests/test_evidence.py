@@ -8,7 +8,7 @@ from marginalia.operators.bootstrap import paired_delta
 from marginalia.operators.candidates import cluster, distinct_pages, diverse, merged, non_redundant, quota
 from marginalia.operators.chunking import fixed, structured
 from marginalia.operators.context import hard_budget, merge_intervals, overlap_join
-from marginalia.operators.retrieval import bm25_scores, dense_top, fuse, pareto_front
+from marginalia.operators.retrieval import bm25_top, dense_top, fuse, pareto_front
 
 
 def page(n, text, chapter=1, section="s"):
@@ -49,7 +49,7 @@ def test_bm25_against_plain_python(spark):
     import math
 
     docs = [(1, "Cell cell wall"), (2, "wall of the house"), (3, None), (4, "nothing here")]
-    got = {(r.query_id, r.doc_id): r.score for r in bm25_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "cell WALL wall")], "query_id long, text string")).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in bm25_top(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "cell WALL wall"), (8, None), (9, "unheard")], "query_id long, text string"), 10, block=1, digits=12).collect()}
     length, n = {1: 3, 2: 4, 3: 0, 4: 2}, 4
     avg = sum(length.values()) / n
     score = lambda tf, df, dl: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
