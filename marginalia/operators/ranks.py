@@ -115,6 +115,36 @@ def value_ranks(df: DataFrame, group_cols: Sequence[str], value: str, descending
     return range_running_sum(counts, group_cols, [value], "n")
 
 
+def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
+    """left with `right`: the struct of the row of right with the same key and the latest time not after left's, null if there is none.
+
+    Both need key and time of one type; (key, time) must be unique in right. Rows of
+    right are numbered within their key by running sums over range partitions, and a row of
+    left gets the number of those before it, so that a hot key is joined by (key,
+    number). Null keys or times have no match. The names _side, _n and _no are reserved.
+    """
+    l = left.withColumn("_no", F.monotonically_increasing_id())  # noqa: E741
+    l = materialize(l)  # noqa: E741
+    marks = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.lit(0).alias("_side"), F.lit(1).cast("long").alias("_n"), F.lit(-1).cast("long").alias("_no"))
+    asks = l.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_n"), "_no")
+    both = range_running_sum(marks.unionByName(asks), [key], [time, "_side", "_no"], "_n", "_before")
+    numbered = both.filter("_side = 0").join(right, [key, time]).select(key, F.col("_before").alias("_place"), F.struct(*right.columns).alias("right"))
+    found = both.filter("_side = 1 AND _before > 0").select(key, "_no", (F.col("_before") - 1).alias("_place")).join(numbered, [key, "_place"]).select("_no", "right")
+    return l.join(found, "_no", "left").drop("_no")
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(group, n, q0, q1, ..): interpolated quantiles of the non-null values of each group, from counts per distinct value, so that no group is gathered."""
+    ranked = value_ranks(df.filter(F.col(value).isNotNull()), [group], value)
+    totals = ranked.groupBy(group).agg(F.sum("n").alias("_total"))
+    each = ranked.join(totals, group)
+    at = lambda i: F.max(F.when((F.col("n_before") <= i) & (F.col("n_before") + F.col("n") > i), F.col(value)))
+    position = [F.lit(float(s)) * (F.col("_total") - 1) for s in shares]
+    got = each.groupBy(group).agg(F.max("_total").alias("n"), *[x for k, p in enumerate(position) for x in (at(F.floor(p)).alias(f"_low{k}"), at(F.ceil(p)).alias(f"_high{k}"))])
+    part = lambda k, s: F.lit(float(s)) * (F.col("n") - 1)
+    return got.select(group, "n", *[(F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * (part(k, s) - F.floor(part(k, s)))).alias(f"q{k}") for k, s in enumerate(shares)])
+
+
 def dense_ids(keys: DataFrame, key: str, out: str = "id") -> DataFrame:
     """Dictionary: each distinct non-null key with an integer 0..n-1 in key order.
 

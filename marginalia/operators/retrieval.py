@@ -209,7 +209,22 @@ def pareto_front(df: DataFrame, group: str, item: str, scores: Mapping[str, bool
             if len(pdf):
                 yield pd.concat(front(pdf))
 
-    def final(pdf):
-        return front(pdf)[0]
+    def final(batches):
+        """Groups lie together; the last one of a batch may go on in the next."""
+        import pandas as pd
 
-    return rows.mapInPandas(local, rows.schema).groupBy(group).applyInPandas(final, rows.schema).select(group, item)
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            last = pdf[group].iloc[-1]
+            done = pdf[pdf[group] != last]
+            held = front(pdf[pdf[group] == last])[0]
+            if len(done):
+                yield pd.concat(front(done))
+        if held is not None:
+            yield held
+
+    fronts = rows.filter(F.col(group).isNotNull()).mapInPandas(local, rows.schema)
+    return fronts.repartition(group).sortWithinPartitions(group).mapInPandas(final, rows.schema).select(group, item)

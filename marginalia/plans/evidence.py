@@ -10,7 +10,8 @@ from marginalia.operators.candidates import SELECTORS, select
 from marginalia.operators.chunking import chunk_books
 from marginalia.operators.context import hard_budget, merge_intervals, overlap_join
 from marginalia.operators.retrieval import top_by
-from marginalia.session import table
+from marginalia.operators.ranks import range_running_sum
+from marginalia.session import materialize, table
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "candidates").filter("rank >= 1 AND query_id IS NOT NULL").withColumn("retriever", F.lower(F.trim("retriever"))).dropDuplicates(["hit_id"])
+    return table(spark, sf_dir, "candidates").filter("rank >= 1 AND query_id IS NOT NULL").withColumn("retriever", F.lower(F.trim("retriever"))).groupBy("hit_id").agg(F.max_by(F.struct("query_id", "retriever", "rank", "candidate_id", "book_id", "pdf_pages", "text", "matches_gold"), F.struct("loaded_at", "rank", "candidate_id")).alias("h")).select("hit_id", "h.*")
 
 
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +47,13 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of a book joined to the one on the page before, without words both have."""
-    p = table(spark, sf_dir, "text_pieces").select("piece_id", "book_id", "pdf_page_number", "text").dropDuplicates(["piece_id"]).filter("book_id IS NOT NULL AND text IS NOT NULL")
-    before = F.lag("text").over(Window.partitionBy("book_id").orderBy("pdf_page_number", "piece_id"))
-    return p.withColumn("before", before).filter("before IS NOT NULL").select("piece_id", F.length(overlap_join(F.col("before"), F.col("text"))).alias("n"))
+    """Every piece of a book joined to the one before, without words both have. Places are counted without the texts, then neighbours are joined by place."""
+    p = table(spark, sf_dir, "text_pieces").groupBy("piece_id").agg(F.max_by(F.struct("book_id", "pdf_page_number", "text"), F.struct("loaded_at", "text")).alias("p")).select("piece_id", "p.*").filter("book_id IS NOT NULL AND text IS NOT NULL")
+    p = materialize(p)
+    place = range_running_sum(p.select("book_id", "pdf_page_number", "piece_id", F.lit(1).cast("long").alias("one")), ["book_id"], ["pdf_page_number", "piece_id"], "one", "place")
+    placed = p.select("piece_id", "text").join(place.select("piece_id", "book_id", "place"), "piece_id")
+    before = placed.select("book_id", (F.col("place") + 1).alias("place"), F.col("text").alias("before"))
+    return placed.join(before, ["book_id", "place"]).select("piece_id", F.length(overlap_join(F.col("before"), F.col("text"))).alias("n"))
 
 
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

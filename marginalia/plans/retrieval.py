@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import retrieval as R
+from marginalia.operators.ranks import grouped_quantiles
 from marginalia.session import table
 
 QUERY_STEP = 100
@@ -27,7 +28,7 @@ def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "candidates").filter("rank >= 1 AND query_id IS NOT NULL")
-    return h.select("hit_id", "query_id", F.lower(F.trim("retriever")).alias("retriever"), "rank", "candidate_id", "book_id", "matches_gold", "pdf_pages", "unit_type").dropDuplicates(["hit_id"])
+    return h.select("hit_id", "query_id", F.lower(F.trim("retriever")).alias("retriever"), "rank", "candidate_id", "book_id", "matches_gold", "pdf_pages", "unit_type", "loaded_at").groupBy("hit_id").agg(F.max_by(F.struct("query_id", "retriever", "rank", "candidate_id", "book_id", "matches_gold", "pdf_pages", "unit_type"), F.struct("loaded_at", "rank", "candidate_id")).alias("h")).select("hit_id", "h.*")
 
 
 _HITS = "WITH h AS (SELECT DISTINCT hit_id, query_id, lower(trim(retriever)) AS retriever, rank, candidate_id, book_id, matches_gold, pdf_pages, unit_type FROM candidates WHERE rank >= 1 AND query_id IS NOT NULL)\n"
@@ -128,12 +129,9 @@ def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated and nearest-rank percentiles; the values of a comparison are counted before they are gathered."""
-    from marginalia.functions.text import nearest_rank
-
-    r = _runs(spark, sf_dir).filter("p95_latency_seconds IS NOT NULL")
-    a = r.groupBy("comparison_id").agg(F.expr("percentile(p95_latency_seconds, 0.95)").alias("p95"), F.sort_array(F.collect_list("p95_latency_seconds")).alias("v"), F.count("*").alias("n"))
-    return a.select("comparison_id", "n", F.round("p95", 6).alias("p95"), nearest_rank(F.col("v"), 0.5).alias("p50_nearest"))
+    """Interpolated quantiles per comparison, from counts per value."""
+    q = grouped_quantiles(_runs(spark, sf_dir), "comparison_id", "p95_latency_seconds", (0.95, 0.5))
+    return q.select("comparison_id", "n", F.round("q0", 6).alias("p95"), F.round("q1", 6).alias("p50"))
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +173,6 @@ SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM l WINDOW w AS (PARTI
     "pareto_runs": _RUNS + """, v AS (SELECT comparison_id, run_id, coalesce(required_point_coverage, -1e308) AS a, coalesce(citation_validity, -1e308) AS b, coalesce(-unsupported_claim_rate, -1e308) AS c, coalesce(-p95_latency_seconds, -1e308) AS d FROM r)
 SELECT comparison_id, run_id FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.comparison_id = x.comparison_id AND y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.d >= x.d AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.d > x.d))""",
     "best_runs": _RUNS + "SELECT comparison_id, run_id FROM r QUALIFY row_number() OVER (PARTITION BY comparison_id ORDER BY coalesce(required_point_coverage, -1) DESC, coalesce(citation_validity, -1) DESC, coalesce(unsupported_claim_rate, 9), coalesce(p95_latency_seconds, 1e300), run_id DESC) = 1",
-    "latency_percentiles": _RUNS + "SELECT comparison_id, count(*) AS n, round(quantile_cont(p95_latency_seconds, 0.95), 6) AS p95, list_sort(list(p95_latency_seconds))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS INTEGER) + 1] AS p50_nearest FROM r WHERE p95_latency_seconds IS NOT NULL GROUP BY comparison_id",
+    "latency_percentiles": _RUNS + "SELECT comparison_id, count(*) AS n, round(quantile_cont(p95_latency_seconds, 0.95), 6) AS p95, round(quantile_cont(p95_latency_seconds, 0.5), 6) AS p50 FROM r WHERE p95_latency_seconds IS NOT NULL GROUP BY comparison_id",
     "run_summary": _RUNS + "SELECT split, count(*) AS runs, round(sum(completed) / sum(questions), 6) AS completion, round(sum(coalesce(required_point_coverage, 0)) / count(*), 6) AS coverage FROM r GROUP BY ROLLUP (split)",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.references import clean_key, parse_time
+from marginalia.operators.ranks import as_of_join, range_running_sum
 from marginalia.session import table
 
 
@@ -59,10 +60,11 @@ def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each book with its chats as one ordered list of titles."""
-    c = _latest(table(spark, sf_dir, "chats"), "id", "book_id", "title", "created_at", "deleted_at").filter("deleted_at IS NULL").select(clean_key("book_id").alias("book"), "id", F.unix_micros(parse_time("created_at")).alias("us"), F.coalesce("title", F.lit("")).alias("title"))
-    per = c.filter("book IS NOT NULL").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("us", "id", "title"))).alias("l"))
-    return per.select("book", F.size("l").alias("n"), F.array_join(F.transform("l", lambda x: x["title"]), "|").alias("titles"))
+    """The chats of each book in order, one row each with its place, so that a book with many chats is no single row."""
+    c = _latest(table(spark, sf_dir, "chats"), "id", "book_id", "title", "created_at", "deleted_at").filter("deleted_at IS NULL")
+    c = c.select(clean_key("book_id").alias("book"), "id", F.unix_micros(parse_time("created_at")).alias("us"), F.coalesce("title", F.lit("")).alias("title"), F.lit(1).cast("long").alias("one"))
+    placed = range_running_sum(c.filter("book IS NOT NULL"), ["book"], ["us", "id"], "one", "place")
+    return placed.select("book", "place", "id", "title")
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +82,10 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls within a budget: the first 50 events of every type and day are accepted."""
-    w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("ok", (F.row_number().over(w) <= 50).cast("int"))
-    return e.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("ok").alias("accepted"), (F.count("*") - F.sum("ok")).alias("rejected"))
+    """Calls within a budget: the first 50 events of every type and day are accepted, however many there are; only their number matters."""
+    per = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    accepted = F.least("n", F.lit(50)).cast("long")
+    return per.select("event_type", "day", accepted.alias("accepted"), (F.col("n") - accepted).alias("rejected"))
 
 
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +126,10 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_as_of_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: for every order the customer's previous order, by one sorted pass instead of a range join."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.lag("o_orderkey").over(w).alias("previous"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 2).alias("running"))
+    """As-of join: for every event of a customer the order that was placed last before it, if any."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("ts")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    e = table(spark, sf_dir, "events").groupBy("event_id").agg(F.max(F.struct("ts", "user_id")).alias("e")).select("event_id", "e.ts", F.col("e.user_id").alias("key"))
+    return as_of_join(e, o, "key", "ts").select("event_id", F.col("right.o_orderkey").alias("o_orderkey"))
 
 
 _FUNCTIONS = (live_books, latest_jobs, jobs_by_state, book_activity, job_transitions, version_conflicts, book_records, event_properties, event_sessions, budget_ledger, hash_sample, source_profile, exact_copies, price_summary, nation_revenue, customers_without_orders, order_as_of_event)
@@ -142,7 +144,7 @@ SQL = {
     "book_activity": f"WITH b AS ({_LIVE}), c AS (SELECT {_KEY % 'book_id'} AS id, count(DISTINCT id) AS chats FROM chats GROUP BY 1), j AS (SELECT {_KEY % 'book_id'} AS id, count(DISTINCT id) AS jobs FROM ingestion_jobs GROUP BY 1) SELECT b.id, book_id, coalesce(chats, 0) AS chats, coalesce(jobs, 0) AS jobs FROM b LEFT JOIN c ON b.id = c.id LEFT JOIN j ON b.id = j.id",
     "job_transitions": "WITH j AS (SELECT DISTINCT id, lower(state) AS state, CAST(updated_at AS TIMESTAMPTZ) AS tm FROM ingestion_jobs), l AS (SELECT lag(state) OVER (PARTITION BY id ORDER BY tm, state) AS before, state FROM j) SELECT before, state, count(*) AS n FROM l WHERE before IS NOT NULL GROUP BY ALL",
     "version_conflicts": "SELECT id, count(DISTINCT sha256) AS hashes, count(DISTINCT title) AS titles, count(*) AS n FROM books GROUP BY id HAVING count(DISTINCT sha256) > 1 OR count(DISTINCT title) > 1",
-    "book_records": f"WITH c AS (SELECT {_KEY % 'book_id'} AS book, id, epoch_us(CAST(created_at AS TIMESTAMPTZ)) AS us, coalesce(title, '') AS title FROM (SELECT * FROM chats QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, book_id DESC NULLS LAST, title DESC NULLS LAST) = 1) WHERE deleted_at IS NULL) SELECT book, CAST(count(*) AS INTEGER) AS n, string_agg(title, '|' ORDER BY us, id) AS titles FROM c WHERE book IS NOT NULL GROUP BY book",
+    "book_records": f"WITH c AS (SELECT {_KEY % 'book_id'} AS book, id, epoch_us(CAST(created_at AS TIMESTAMPTZ)) AS us, coalesce(title, '') AS title FROM (SELECT * FROM chats QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, book_id DESC NULLS LAST, title DESC NULLS LAST) = 1) WHERE deleted_at IS NULL) SELECT book, row_number() OVER (PARTITION BY book ORDER BY us NULLS FIRST, id) - 1 AS place, id, title FROM c WHERE book IS NOT NULL",
     "event_properties": "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max, round(avg(value), 6) AS value FROM events GROUP BY event_type",
     "event_sessions": "WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM e) SELECT user_id, session, count(*) AS events, round(sum(value), 4) AS value FROM s GROUP BY ALL",
     "budget_ledger": "WITH e AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) <= 50 THEN 1 ELSE 0 END AS ok FROM events) SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(ok) AS BIGINT) AS accepted, CAST(count(*) - sum(ok) AS BIGINT) AS rejected FROM e GROUP BY ALL",
@@ -152,5 +154,5 @@ SQL = {
     "price_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "nation_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "customers_without_orders": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment",
-    "order_as_of_event": "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    "order_as_of_event": "WITH o AS (SELECT o_custkey AS key, o_orderdate AS ots, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL), e AS (SELECT event_id, ts, user_id AS key FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, user_id DESC) = 1) SELECT event_id, o_orderkey FROM e ASOF LEFT JOIN o ON e.key = o.key AND e.ts >= o.ots",
 }

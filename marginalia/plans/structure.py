@@ -82,12 +82,16 @@ def chapter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hit followed by the units before and after it in its document; the first mention of a unit stands."""
-    h = _hits(spark, sf_dir).filter(F.col("candidate_id").rlike(r":\d+$"))
+    """Every hit followed by the units before and after it in its document; the first mention of a unit stands.
+
+    Neighbours are units that exist: those any hit names. Links to others are dropped.
+    """
+    hits = table(spark, sf_dir, "candidates").filter(F.col("candidate_id").rlike(r":\d+$"))
     stem, no = F.regexp_extract("candidate_id", r"^(.*:)\d+$", 1), F.regexp_extract("candidate_id", r":(\d+)$", 1).cast("int")
-    e = h.select("query_id", "rank", "candidate_id", F.posexplode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("pos", "step")).withColumn("n", no + F.col("step")).filter("n >= 0")
-    e = e.withColumn("unit", F.concat(stem, F.lpad(F.col("n").cast("string"), 5, "0")))
-    first = e.groupBy("query_id", "unit").agg(F.min(F.struct("rank", "candidate_id", "pos")).alias("k"))
+    units = hits.groupBy(stem.alias("stem"), no.alias("n")).agg(F.min("candidate_id").alias("unit"))
+    h = _hits(spark, sf_dir).filter(F.col("candidate_id").rlike(r":\d+$")).select("query_id", "rank", "candidate_id", stem.alias("stem"), no.alias("no"))
+    e = h.select("query_id", "rank", "candidate_id", "stem", "no", F.posexplode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("pos", "step")).withColumn("n", F.col("no") + F.col("step"))
+    first = e.join(units, ["stem", "n"]).groupBy("query_id", "unit").agg(F.min(F.struct("rank", "candidate_id", "pos")).alias("k"))
     return top_by(first.select("query_id", "unit", "k"), "query_id", [F.col("k"), F.col("unit")], 5, "place").select("query_id", "unit", "place")
 
 
@@ -156,8 +160,9 @@ s AS (SELECT query_id, candidate_id, round(1.0::DOUBLE / (60 + a) + 0.5::DOUBLE
 SELECT *, CAST(row_number() OVER w AS INTEGER) AS place FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, candidate_id) QUALIFY row_number() OVER w <= 5""",
     "chapter_cascade": _HITS + """, c AS (SELECT query_id, chapter FROM h GROUP BY query_id, chapter QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chapter) <= 2)
 SELECT query_id, candidate_id, rank, CAST(row_number() OVER w AS INTEGER) AS place FROM h SEMI JOIN c USING (query_id, chapter) WINDOW w AS (PARTITION BY query_id ORDER BY rank, candidate_id) QUALIFY row_number() OVER w <= 5""",
-    "neighbour_expansion": _HITS + r""", e AS (SELECT query_id, rank, candidate_id, unnest([0, 1, 2]) AS pos, unnest([0, -1, 1]) AS step FROM h WHERE regexp_matches(candidate_id, ':\d+$')),
-u AS (SELECT query_id, rank, candidate_id, pos, regexp_extract(candidate_id, '^(.*:)\d+$', 1) || lpad(CAST(CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) + step AS VARCHAR), 5, '0') AS unit FROM e WHERE CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) + step >= 0),
+    "neighbour_expansion": _HITS + r""", n AS (SELECT regexp_extract(candidate_id, '^(.*:)\d+$', 1) AS stem, CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) AS n, min(candidate_id) AS unit FROM candidates WHERE regexp_matches(candidate_id, ':\d+$') GROUP BY 1, 2),
+e AS (SELECT query_id, rank, candidate_id, unnest([0, 1, 2]) AS pos, unnest([0, -1, 1]) AS step FROM h WHERE regexp_matches(candidate_id, ':\d+$')),
+u AS (SELECT query_id, rank, candidate_id, pos, unit FROM e JOIN n ON n.stem = regexp_extract(candidate_id, '^(.*:)\d+$', 1) AND n.n = CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) + step),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, unit ORDER BY rank, candidate_id, pos) = 1)
 SELECT query_id, unit, CAST(row_number() OVER w AS INTEGER) AS place FROM f WINDOW w AS (PARTITION BY query_id ORDER BY rank, candidate_id, pos, unit) QUALIFY row_number() OVER w <= 5""",
     "token_f1": f"""WITH h AS (SELECT DISTINCT hit_id, query_text, text FROM candidates), e AS (SELECT hit_id, lower(unnest({_TOK.format('query_text')})) AS t, 1 AS q FROM h UNION ALL SELECT hit_id, lower(unnest({_TOK.format('text')})), 0 FROM h),

@@ -30,10 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the cluster (spark.checkpoint.dir); set a folder only where none is configured."""
+    """Use the shared folder of the cluster (spark.checkpoint.dir); only a local session without one gets a temporary folder.
+
+    On a cluster a machine's own folder would not be shared, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "marginalia-checkpoints"))
 
 

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marginalia.operators import bitmaps
-from marginalia.operators.ranks import dense_ids, range_running_sum, value_ranks
+from marginalia.operators.ranks import as_of_join, dense_ids, grouped_quantiles, range_running_sum, value_ranks
 
 
 def test_running_sum_of_a_group_that_spans_partitions(spark):
@@ -48,3 +49,22 @@ def test_containers_hold_their_set(values, many):
 def test_container_sizes(n):
     c = bitmaps.encode(range(n))
     assert len(c) <= 8193 and bitmaps.decode(bitmaps.words(c)).tolist() == list(range(n))
+
+
+def test_as_of_join(spark):
+    random.seed(2)
+    right = sorted({(random.choice("aab"), random.randrange(60)) for _ in range(40)})
+    left = [(i, random.choice(["a", "a", "b", "c", None]), random.choice([*range(60), None])) for i in range(200)]
+    got = as_of_join(spark.createDataFrame(left, "id long, k string, t int").repartition(4), spark.createDataFrame([(k, t, f"{k}{t}") for k, t in right], "k string, t int, v string"), "k", "t").collect()
+    want = {i: max((rt for rk, rt in right if k is not None and t is not None and rk == k and rt <= t), default=None) for i, k, t in left}
+    assert len(got) == 200 and all((r.right.t if r.right else None) == want[r.id] and (r.right is None or r.right.v == f"{r.k}{r.right.t}") for r in got)
+    empty = spark.createDataFrame([], "k string, t int, v string")
+    assert all(r.right is None for r in as_of_join(spark.createDataFrame(left, "id long, k string, t int"), empty, "k", "t").collect())
+
+
+def test_grouped_quantiles(spark):
+    random.seed(3)
+    rows = [("x", float(random.randrange(20))) for _ in range(101)] + [("y", 5.0), ("z", None)]
+    got = {r.g: r for r in grouped_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", (0.0, 0.37, 0.95, 1.0)).collect()}
+    want = np.quantile([v for g, v in rows if g == "x"], [0.0, 0.37, 0.95, 1.0])
+    assert got.keys() == {"x", "y"} and np.allclose([got["x"][f"q{k}"] for k in range(4)], want) and got["y"].q2 == 5.0 and got["x"].n == 101
