@@ -34,43 +34,76 @@ class Step:
 
 
 class _Stock:
-    """Counts of the lengths still available."""
+    """Counts of the lengths still available, with an index of the sums that two and three of them have.
+
+    For each sum the index holds the largest part of one combination, 0 if there is none.
+    Lengths only ever run out, so an entry that no longer holds is found again from the
+    level below when it is looked up, and a sum without one stays without.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        lengths = np.flatnonzero(self.left)
+        self.pairs, self.triples = np.zeros((2, capacity + 1), dtype=np.int64)
+        for a in lengths:  # ascending, so that the largest part stands
+            b = lengths[(lengths <= min(a, capacity - a)) & ((lengths != a) | (self.left[a] > 1))]
+            self.pairs[a + b] = a
+        sums = np.flatnonzero(self.pairs)
+        for a in lengths:
+            self.triples[a + sums[sums <= capacity - a]] = a
 
     def best_fit(self, gap: int) -> int:
         """Largest available length up to gap, 0 if none."""
         fits = np.flatnonzero(self.left[1 : gap + 1])
         return int(fits[-1]) + 1 if len(fits) else 0
 
+    def _has_pair(self, a: int, b: int) -> bool:
+        return self.left[a] > 0 and self.left[b] > 0 and (a != b or self.left[a] > 1)
+
     def pair(self, total: int) -> tuple[int, int] | None:
-        """Two available lengths that add up to total, the larger one as large as possible."""
-        if total < 2:
+        """Two available lengths that add up to total."""
+        first = int(self.pairs[total]) if total > 0 else 0
+        if not first:
             return None
-        a = np.arange((total + 1) // 2, total)
-        b = total - a
-        ok = (self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1))
-        hits = np.flatnonzero(ok)
-        return (int(a[hits[-1]]), int(b[hits[-1]])) if len(hits) else None
+        if not self._has_pair(first, total - first):
+            a = np.arange((total + 1) // 2, total)
+            b = total - a
+            hits = np.flatnonzero((self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1)))
+            self.pairs[total] = first = int(a[hits[-1]]) if len(hits) else 0
+        return (first, total - first) if first else None
+
+    def _pair_beside(self, a: int, total: int) -> tuple[int, int] | None:
+        """A pair of that total when one item of length a is taken; what is missing only for a's sake stays in the index."""
+        found = self.pair(total)
+        if not found or self.left[a] > found.count(a):
+            return found
+        b = np.arange(1, total // 2 + 1)
+        c = total - b
+        left = self.left.copy()
+        left[a] -= 1
+        hits = np.flatnonzero((left[b] > 0) & (left[c] > 0) & ((b != c) | (left[b] > 1)))
+        return (int(c[hits[0]]), int(b[hits[0]])) if len(hits) else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three available lengths that add up to total."""
+        first = int(self.triples[total])
+        if not first:
+            return None
+        if self.left[first] > 0 and (two := self._pair_beside(first, total - first)):
+            return (first, *two)
+        parts = np.arange(1, total - 1)
+        for a in parts[(self.left[parts] > 0) & (self.pairs[total - parts] > 0)][::-1]:
+            if two := self._pair_beside(int(a), total - int(a)):
+                self.triples[total] = a
+                return (int(a), *two)
+        self.triples[total] = 0
+        return None
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three available lengths that fill gap exactly."""
-        if self.left[gap] > 0:
-            return (gap,)
-        if two := self.pair(gap):
-            return two
-        for a in np.flatnonzero(self.left[1 : gap - 1])[::-1] + 1:
-            if 3 * int(a) < gap:
-                break
-            self.left[a] -= 1
-            two = self.pair(gap - int(a))
-            self.left[a] += 1
-            if two:
-                return (int(a), *two)
-        return None
+        return (gap,) if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Step]:

@@ -65,12 +65,14 @@ def _multipliers(cells: DataFrame, goals: dict[str, tuple[float, float]], unit:
     return {s: x["a"] for s, x in state.items()}, rounds
 
 
-def mix(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, within_reach: bool = False) -> tuple[DataFrame, DataFrame]:
     """(copies, shares) of a mix in which each source has its target share.
 
     sized: (id, source, tokens); targets: (source, target_share, max_repeats),
     one row per source. Sources compare trimmed and lower-cased. The total is
-    the tokens of all documents, used once, of the sources in targets.
+    the tokens of all documents, used once, of the sources in targets. With within_reach
+    it is the largest total up to that for which every source with documents reaches its
+    share, so that these sources' parts of the mix are in proportion to their targets.
 
     copies: (id, source, tokens, rate, copies), one row per row of sized with a
     source in targets and at least one token; copies may be 0 and never exceeds
@@ -95,11 +97,13 @@ def mix(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     have = {r["source"]: (r["docs"], r["tokens"]) for r in cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("tokens")).alias("tokens")).collect()}
     total = sum(t for _, t in have.values())
     documents = sum(d for d, _ in have.values())
-    unit = total / documents if documents else 1.0
+    if within_reach:
+        total = min([total, *[have[k][1] * cap / share for k, _, share, cap in wanted if share > 0 and k in have]])
+    unit = sum(t for _, t in have.values()) / documents if documents else 1.0
     goals, full = {}, {}
     for k, _, share, cap in wanted:
         tokens = have.get(k, (0, 0))[1]
-        full[k] = tokens * cap < share * total
+        full[k] = tokens * cap < share * total * (1 - 1e-12 if within_reach else 1)  # the source that sets the total reaches it but for rounding
         if not full[k] and share > 0 and tokens:
             goals[k] = (share * total, cap)
     a, _ = _multipliers(cells, goals, unit) if goals else ({}, 0)

@@ -9,8 +9,8 @@ from marginalia.llm.mixture import mix
 from marginalia.session import table
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mix(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",)), table(spark, sf_dir, "mix_targets"))
+def _mix(spark: SparkSession, sf_dir: str, within_reach: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mix(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",)), table(spark, sf_dir, "mix_targets"), within_reach)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares}
+def p7_shares_within_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mix in which every source that has documents reaches its target."""
+    return _mix(spark, sf_dir, True)[1]
+
+
+QUERIES = {"p7_found": p7_found, "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_shares_within_reach": p7_shares_within_reach}
 SQL: dict[str, str] = {}

@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries, with balanced piece lengths.
 
 The fewest possible pieces get equally spaced target ends; each end moves to the
-strongest boundary near its target (paragraph, line, sentence, word). Where no
-choice of ends keeps every piece within the limit, one more piece is tried.
+strongest boundary near its target (paragraph, line, sentence, word). Where that
+leaves no boundary within reach, the rest gets one more piece and new targets; the
+pieces before it stand, so that the time follows the text's length.
 """
 
 from __future__ import annotations
@@ -45,39 +46,36 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     white space there cuts inside a word.
     """
     n = len(text)
-    if n <= limit:
-        return [(0, n, "end")]
     fresh = limit - overlap
-    count = -(-(n - overlap) // fresh)
-    marks = boundaries(text)
-    while True:
-        cuts, start, ok = [], 0, True
-        for i in range(count - 1):
-            rest = count - i - 1  # pieces after this one
-            target = start + overlap + (n - start - overlap) // (rest + 1)
-            # later pieces must be able to take the rest, and each piece must reach beyond its overlap
-            low, high = max(start + overlap + 1, n - rest * fresh), min(start + limit, n - 1)
-            if low > high:
-                ok = False
-                break
-            target = min(max(target, low), high)
-            radius = max(1, (n - overlap) // count // 4)
-            end, kind = None, "none"
-            for lo, hi in ((max(low, target - radius), min(high, target + radius)), (low, high)):
-                for name, ends in zip(_NAMES, marks):
-                    if (end := _nearest(ends, lo, hi, target)) is not None:
-                        kind = name
-                        break
-                if end is not None:
-                    break
-            if end is None and count < 2 * (n // fresh + 1) and any(bisect_left(e, start + overlap + 1) < bisect_right(e, high) for e in marks):
-                ok = False  # a boundary lies earlier; with one more piece it can be used
-                break
-            cuts.append((start, end if end is not None else target, kind))
-            start = cuts[-1][1] - overlap
-        if ok:
-            return [*cuts, (start, n, "end")]
-        count += 1
+    rest = max(0, -(-(n - limit) // fresh))  # pieces after the first: the fewest possible
+    width = (n - overlap) // (rest + 1)
+    marks = boundaries(text) if rest else []
+    cuts, start = [], 0
+    while n - start > limit:
+        first = start + overlap + 1  # a piece must reach beyond its overlap
+        high = min(start + limit, n - 1)
+        while True:
+            low = max(first, n - rest * fresh)  # the later pieces must be able to take the rest
+            end, kind = _snap(marks, low, high, start + overlap + (n - start - overlap) // (rest + 1), max(1, width // 4))
+            if end is None and low > first and any(bisect_left(e, first) < bisect_right(e, high) for e in marks):
+                rest += 1  # a boundary lies earlier; with one more piece it can be used
+                continue
+            break
+        if end is None:
+            end = min(max(start + overlap + (n - start - overlap) // (rest + 1), low), high)
+        cuts.append((start, end, kind))
+        start, rest = end - overlap, max(1, rest - 1)
+    return [*cuts, (start, n, "end")]
+
+
+def _snap(marks: list[list[int]], low: int, high: int, target: int, radius: int) -> tuple[int | None, str]:
+    """The strongest boundary near the target, else the strongest in all the range, with its name."""
+    target = min(max(target, low), high)
+    for lo, hi in ((max(low, target - radius), min(high, target + radius)), (low, high)):
+        for name, ends in zip(_NAMES, marks):
+            if (end := _nearest(ends, lo, hi, target)) is not None:
+                return end, name
+    return None, "none"
 
 
 def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

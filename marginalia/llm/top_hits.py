@@ -2,9 +2,10 @@
 
 Every input partition becomes a sorted run per bucket: rows ordered by group,
 score and ties, of which only the first N of each group are kept. The shuffle
-stores the runs by bucket. Each bucket then merges its runs with a loser tree and,
-after N outputs of a group, seeks every run to the next group. A group with
-millions of rows sends at most N rows per run.
+stores the runs by bucket, groups side by side. Each bucket then merges the runs of some
+groups at a time with a loser tree and, after N outputs of a group, seeks every run to the
+next group. A group with millions of rows sends at most N rows per run, and a task
+holds one batch and one group's runs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,11 +156,25 @@ def top_n(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
                 seq += len(keep)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All groups of one bucket; it holds at most n rows per group and run."""
-        filled = [b for b in batches if b.num_rows]
-        if not filled:
+        """The groups of one bucket, some at a time: groups lie together, and the last one of a batch may go on in the next."""
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            names = t.column(group)
+            start = pc.index(names, names[t.num_rows - 1]).as_py()
+            held = t.slice(start)
+            yield from merged(t.slice(0, start))
+        if held is not None:
+            yield from merged(held)
+
+    def merged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole groups; they hold at most n rows per group and run."""
+        if not t.num_rows:
             return
-        t = pa.Table.from_batches(filled).sort_by([("_run", "ascending"), ("_seq", "ascending")])  # blocks of a run may arrive apart
+        t = t.sort_by([("_run", "ascending"), ("_seq", "ascending")])
         run_of = t.column("_run").to_numpy()
         bounds = [0, *(np.flatnonzero(run_of[1:] != run_of[:-1]) + 1), len(run_of)]
         groups = t.column(group).to_pylist()
@@ -172,5 +188,5 @@ def top_n(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
         yield from picked.append_column("place", pa.array(places, pa.int32())).to_batches(max_chunksize=10_000)
 
     runs = rows.sortWithinPartitions(*keys).mapInArrow(cut, run_schema)
-    bucketed = runs.repartition(F.col(group))
+    bucketed = runs.repartition(F.col(group)).sortWithinPartitions(group, "_run", "_seq")  # by merging on disk where it has to
     return bucketed.mapInArrow(merge, T.StructType([*fields, T.StructField("place", T.IntegerType())]))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm.containers import count_tokens, fill_containers, number_within, plan
+from marginalia.llm.containers import _Stock, count_tokens, fill_containers, number_within, plan
 from marginalia.llm.tokens import PATTERN, TOKENIZER_DIR, VOCABULARY, counter
 
 
@@ -86,3 +87,19 @@ def test_counts_are_exact(encode, text):
 def test_count_column(spark):
     got = count_tokens(spark.createDataFrame([(1, "a b", "s"), (2, None, "s"), (3, "", None)], "d long, t string, s string"), "d", "t", keep=("s",)).collect()
     assert [(r.id, r.s, r.tokens) for r in got] == [(1, "s", 2), (2, "s", None), (3, None, 0)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=8), st.lists(st.integers(0, 7), max_size=6), st.integers(1, 30))
+def test_complements_against_all_combinations(counts, taken, gap):
+    """After some lengths have run out the index still finds a combination if and only if there is one."""
+    stock = _Stock(counts, 30)
+    for i in taken:
+        x = sorted(counts)[i % len(counts)]
+        stock.left[x] = max(0, stock.left[x] - 1)
+        stock.complement(gap)
+    items = [x for x in range(31) for _ in range(int(stock.left[x]))]
+    exists = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(items, k))
+    got = stock.complement(gap)
+    assert (got is not None) == exists
+    assert got is None or (sum(got) == gap and not Counter(got) - Counter(items))

@@ -43,3 +43,11 @@ def test_exactly_reachable_and_null_targets(spark):
     _, shares = make(spark, [(1, "a", 10, ""), (2, "b", 10, "")], [("a", 0.5, 1, 0), ("b", None, None, 0)])
     got = {r.source: r for r in shares.collect()}
     assert got["a"].mixed_tokens == 10 and got["b"].mixed_tokens == 0 and not got["a"].saturated
+
+
+def test_within_reach(spark):
+    rows = [(i, "ab"[i % 7 == 0], 10, "") for i in range(700)]
+    _, shares = mix(spark.createDataFrame(rows, "id long, source string, tokens long, copies string"), spark.createDataFrame([("a", 0.4, 3, 0), ("b", 0.4, 2, 0), ("c", 0.2, 2, 0)], TARGETS), True)
+    got = {r.source: r for r in shares.collect()}
+    assert abs(got["a"].mixed_tokens - got["b"].mixed_tokens) <= 10 and got["b"].mixed_tokens == 2000 and abs(got["a"].mix_share - 0.5) < 0.01
+    assert not got["a"].saturated and not got["b"].saturated and got["c"].mixed_tokens == 0

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,3 +39,14 @@ def test_rows(spark):
     assert split_texts(spark.createDataFrame([], "k long, t string"), "k", "t").count() == 0
     with pytest.raises(ValueError):
         split_texts(spark.createDataFrame(rows, "k long, t string, pieces string"), "k", "t", 100, 60)
+
+
+def test_long_texts_take_linear_time():
+    def seconds(n):
+        text = "".join("x" * (500 + i * 37 % 2000) + " " for i in range(n))
+        began = time.process_time()
+        cut_points(text)
+        return time.process_time() - began
+
+    seconds(10)
+    assert min(seconds(2400) for _ in range(2)) < 20 * min(seconds(300) for _ in range(3))  # 8 times the length; quadratic would be 64 times
