@@ -86,3 +86,28 @@ def process(method: str, q: Column) -> Column:
     if method not in PROCESSORS:
         raise ValueError(f"unknown query processor: {method}")
     return PROCESSORS[method](q)
+
+
+def fired(method: str, q: Column) -> Column:
+    """Names of a processor's rules that fire on a question, in order; a question without any stays as it is.
+
+    Rewrite rules are looked for in the text the rules before them left.
+    """
+    low = F.lower(q)
+    if method == "raw":
+        return F.array().cast("array<string>")
+    if method in ("spelling_normalization", "grammar_cleanup"):
+        kind, rules = ("spelling", SPELLING) if method.startswith("s") else ("grammar", GRAMMAR)
+        hits, text = [], q
+        for pattern, to in rules:
+            hits.append(F.when(text.rlike("(?i)" + pattern), f"{kind}:{to}"))
+            text = F.regexp_replace(text, "(?i)" + pattern, to)
+    elif method == "textbook_synonym_expansion":
+        hits = [F.when(F.forall(F.array(*map(F.lit, triggers)), lambda t: F.contains(low, t)), "synonym:" + "+".join(triggers)) for triggers, _ in SYNONYMS]
+    elif method == "acronym_expansion":
+        hits = [F.when(q.rlike(p), f"acronym:{x}") for p, x in ACRONYMS]
+    elif method == "formula_symbol_normalization":
+        hits = [F.when(F.contains(low, F.lit(t)), f"quantity:{t}") for t, _ in QUANTITIES]
+    else:
+        raise ValueError(f"unknown query processor: {method}")
+    return F.array_compact(F.array(*hits))

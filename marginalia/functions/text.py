@@ -46,21 +46,30 @@ def clip_words(c: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.regexp_replace(F.substring(flat, 1, limit), r"\s+\S*$", ""))
 
 
+# Lines that the source books repeat on their pages.
+BOILERPLATE = (r"(?i)Government['’]s Gift for Students['’] Progress", r"(?m)^\s*CLASS\s+(?:X|10)\s*$")
+
+
 def clean_text(c: Column | str) -> Column:
-    """Repairs replacement characters, line-end hyphens and white space of an extracted page."""
+    """Repairs replacement characters, line-end hyphens and white space of an extracted page and takes out the books' boilerplate."""
     c = F.col(c) if isinstance(c, str) else c
     t = F.replace(c, F.lit("�"), F.lit("'"))
+    for pattern in BOILERPLATE:
+        t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(t, r"([A-Za-z])-\s*\n\s*([a-z])", "$1$2")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r" *\n *", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def cleaning_notes(raw: Column, cleaned: Column) -> Column:
-    """What cleaning found, in fixed order."""
+def cleaning_notes(raw: Column, cleaned: Column, chapter: Column) -> Column:
+    """What cleaning found, in fixed order; chapter is the page's chapter title, if any."""
+    low, title = F.lower(cleaned), F.nullif(F.lower(chapter), F.lit(""))
+    times = (F.length(low) - F.length(F.replace(low, title, F.lit("")))) / F.length(title)
     return F.array_compact(F.array(
         F.when(F.contains(raw, F.lit("�")), "replacement_character_present_in_raw_text"),
         F.when(raw.rlike(r"[A-Za-z]-\s*\n\s*[a-z]"), "line_break_hyphenation_repaired"),
+        F.when(times > 1, "repeated_chapter_title_in_text_layer"),
         F.when(F.length(cleaned) < 100, "low_text_page"),
     ))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice, zip_longest
 
 import numpy as np
@@ -148,9 +148,46 @@ def non_redundant(clusters: list[dict], budget: int, most: float = 0.72) -> list
     return [c for c, _ in kept]
 
 
+def _expanded(clusters: list[dict], budget: int, labels: Callable[[dict], Iterable]) -> list[dict]:
+    """Each cluster in order, followed by all that share a label with it; the first mention stands."""
+    having: dict = defaultdict(list)
+    for i, c in enumerate(clusters):
+        for x in labels(c):
+            having[x].append(i)
+    mentioned = (j for i, c in enumerate(clusters) for j in (i, *sorted({j for x in labels(c) for j in having[x]})))
+    return [clusters[i] for i in islice(dict.fromkeys(mentioned), budget)]
+
+
+def same_page(clusters: list[dict], budget: int) -> list[dict]:
+    """Every cluster brings those on its pages."""
+    return _expanded(clusters, budget, lambda c: set(c["pdf_pages"] or ()))
+
+
+def same_section(clusters: list[dict], budget: int) -> list[dict]:
+    """Every cluster brings those of its section."""
+    return _expanded(clusters, budget, lambda c: [(c["chapter_title"], c["section_title"])])
+
+
+# Worth of a new page and of a new section against 1 / place.
+NEW_PAGE, NEW_SECTION, COVERAGE_DEPTH = 0.08, 0.04, 20
+
+
+def coverage(clusters: list[dict], budget: int) -> list[dict]:
+    """Of the first twenty, always the one with the greatest 1 / place plus what its new pages and its new section are worth."""
+    places, pages, sections, out = dict(enumerate(clusters[:COVERAGE_DEPTH])), set(), set(), []
+    worth = lambda i: 1 / (1 + i) + NEW_PAGE * len(set(places[i]["pdf_pages"] or ()) - pages) + NEW_SECTION * ((places[i]["chapter_title"], places[i]["section_title"]) not in sections)
+    while places and len(out) < budget:
+        c = places.pop(max(places, key=lambda i: (worth(i), -i)))
+        pages.update(c["pdf_pages"] or ())
+        sections.add((c["chapter_title"], c["section_title"]))
+        out.append(c)
+    return out
+
+
 #: Selectors by name.
 SELECTORS: dict[str, Callable[[list[dict], int], list[dict]]] = {
     "fused": lambda c, n: c[:n], "diverse": diverse, "quota": quota, "distinct_pages": distinct_pages, "non_redundant": non_redundant,
+    "same_page": same_page, "same_section": same_section, "coverage": coverage,
 }
 
 
@@ -158,10 +195,10 @@ def select(hits: DataFrame, selector: str, budget: int, depth: int = DEPTH) -> D
     """(query_id, position, candidate_id, members, fused, gold) of the chosen evidence clusters of every query.
 
     hits needs hit_id, query_id, retriever, rank, candidate_id, book_id,
-    pdf_pages, text, matches_gold. Null texts and pages are empty.
+    pdf_pages, text, matches_gold, chapter_title, section_title. Null texts and pages are empty.
     """
     choose = SELECTORS[selector]
-    cols = ["hit_id", "retriever", "rank", "candidate_id", "book_id", "pdf_pages", "text", "matches_gold", "place"]
+    cols = ["hit_id", "retriever", "rank", "candidate_id", "book_id", "pdf_pages", "text", "matches_gold", "chapter_title", "section_title", "place"]
     # one row per query with its bounded pool: no per-group overhead in Python
     pools = pool(hits, depth).groupBy("query_id").agg(F.collect_list(F.struct(*cols)).alias("pool"))
     schema = pa.schema([("query_id", pa.int64()), ("position", pa.int32()), ("candidate_id", pa.string()), ("members", pa.int32()), ("fused", pa.float64()), ("gold", pa.bool_())])

@@ -20,7 +20,7 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "candidates").filter("rank >= 1 AND query_id IS NOT NULL").withColumn("retriever", F.lower(F.trim("retriever"))).groupBy("hit_id").agg(F.max_by(F.struct("query_id", "retriever", "rank", "candidate_id", "book_id", "pdf_pages", "text", "matches_gold"), F.struct("loaded_at", "rank", "candidate_id")).alias("h")).select("hit_id", "h.*")
+    return table(spark, sf_dir, "candidates").filter("rank >= 1 AND query_id IS NOT NULL").withColumn("retriever", F.lower(F.trim("retriever"))).groupBy("hit_id").agg(F.max_by(F.struct("query_id", "retriever", "rank", "candidate_id", "book_id", "pdf_pages", "text", "matches_gold", "chapter_title", "section_title"), F.struct("loaded_at", "rank", "candidate_id")).alias("h")).select("hit_id", "h.*")
 
 
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

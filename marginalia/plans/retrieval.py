@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import queries as Q
 from marginalia.operators import retrieval as R
 from marginalia.operators.ranks import grouped_quantiles
 from marginalia.session import table
@@ -20,6 +21,16 @@ def bm25_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_top(table(spark, sf_dir, "documents"), q, 10)
 
 
+def processed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries as they are and with textbook synonyms added, fused by rank; a query no rule changes counts once."""
+    q = table(spark, sf_dir, "candidates").filter(f"query_id % {QUERY_STEP} = 0 AND query_text IS NOT NULL").groupBy(F.lower(F.trim(F.regexp_replace("query_text", r"\s+", " "))).alias("text")).agg(F.min("query_id").alias("query_id"))
+    docs = table(spark, sf_dir, "documents")
+    more = q.withColumn("more", Q.process("textbook_synonym_expansion", F.col("text"))).filter("more <> text").select("query_id", F.col("more").alias("text"))
+    both = R.bm25_top(docs, q, 20).withColumn("source", F.lit("original")).unionByName(R.bm25_top(docs, more, 20).withColumn("source", F.lit("processed")))
+    f = R.fuse(both, "query_id", "doc_id", "source", "rank").withColumn("fused", F.round("fused", 9))
+    return R.top_by(f, "query_id", [F.desc("fused"), F.col("doc_id")], 10)
+
+
 def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.filter(f"vec_id % {QUERY_STEP} = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -141,19 +152,31 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g
 
 
-QUERIES = {f.__name__: f for f in (bm25_top_pages, dense_neighbours, fused_ranking, weighted_ranking, blended_ranking, retriever_metrics, scope_metrics, oracle_recall, unique_wins, retriever_overlap, page_lift, failure_categories, pareto_runs, best_runs, latency_percentiles, run_summary)}
+QUERIES = {f.__name__: f for f in (bm25_top_pages, processed_fusion, dense_neighbours, fused_ranking, weighted_ranking, blended_ranking, retriever_metrics, scope_metrics, oracle_recall, unique_wins, retriever_overlap, page_lift, failure_categories, pareto_runs, best_runs, latency_percentiles, run_summary)}
 
 _TOK = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+(?:[.''-][A-Za-z0-9]+)*'), lambda x: lower(x))"
+_SYNONYMS = ", ".join("CASE WHEN " + " AND ".join(f"contains(text, '{t}')" for t in triggers) + f" THEN '{terms}' END" for triggers, terms in Q.SYNONYMS)
+
+
+def _bm25_sql(queries: str, x: str, k: int, first: bool = True) -> str:
+    base = f"""q AS (SELECT lower(trim(regexp_replace(query_text, '\\s+', ' ', 'g'))) AS text, min(query_id) AS query_id FROM candidates WHERE query_id % 100 = 0 AND query_text IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, coalesce({_TOK.format('text')}, []) AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+""" if first else ""
+    return base + f"""qt{x} AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({_TOK.format('text')}) AS term FROM {queries}) GROUP BY ALL),
+tf{x} AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt{x}) GROUP BY ALL),
+idf{x} AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf{x}, s GROUP BY term),
+sc{x} AS (SELECT query_id, doc_id, round(sum(idf * qn * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf{x} JOIN qt{x} USING (term) JOIN idf{x} USING (term), s GROUP BY ALL),
+r{x} AS (SELECT query_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM sc{x} WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {k})
+"""
+
+
 _W = "CASE retriever WHEN 'page_bm25' THEN 1.0 WHEN 'page_dense_bge_small' THEN 1.25 WHEN 'fixed_400_80_bm25' THEN 0.75 WHEN 'soft_fusion_hybrid' THEN 1.5 ELSE 1.0 END"
 _BEST = _HITS + ", b AS (SELECT query_id, candidate_id, retriever, min(rank) AS rank FROM h GROUP BY ALL)\n"
 SQL = {
-    "bm25_top_pages": f"""WITH q AS (SELECT lower(trim(regexp_replace(query_text, '\\s+', ' ', 'g'))) AS text, min(query_id) AS query_id FROM candidates WHERE query_id % 100 = 0 AND query_text IS NOT NULL GROUP BY 1),
-qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({_TOK.format('text')}) AS term FROM q) GROUP BY ALL),
-d AS (SELECT doc_id, coalesce({_TOK.format('text')}, []) AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, s GROUP BY term),
-sc AS (SELECT query_id, doc_id, round(sum(idf * qn * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN qt USING (term) JOIN idf USING (term), s GROUP BY ALL)
-SELECT query_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM sc WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
+    "bm25_top_pages": "WITH " + _bm25_sql("q", "", 10) + "SELECT query_id, doc_id, score, rank FROM r",
+    "processed_fusion": "WITH " + _bm25_sql("q", "", 20) + f""", qm AS (SELECT query_id, text || ' Related textbook terms: ' || array_to_string(list_filter(list_distinct([{_SYNONYMS}]), lambda x: x IS NOT NULL), ' ') AS text FROM q WHERE len(list_filter([{_SYNONYMS}], lambda x: x IS NOT NULL)) > 0),
+""" + _bm25_sql("qm", "m", 20, False) + """, b AS (SELECT * FROM r UNION ALL SELECT * FROM rm), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM b GROUP BY ALL)
+SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM f WINDOW w AS (PARTITION BY query_id ORDER BY fused DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
     "dense_neighbours": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(s, 6) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
     "fused_ranking": _BEST + ", f AS (SELECT query_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM b GROUP BY ALL) SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM f WINDOW w AS (PARTITION BY query_id ORDER BY fused DESC, candidate_id) QUALIFY row_number() OVER w <= 10",

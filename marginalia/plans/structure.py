@@ -75,10 +75,19 @@ def parent_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each query's two best chapters only, re-ranked."""
+    """Hits of each query's eight best sections within its three best chapters."""
     h = _hits(spark, sf_dir)
-    best = top_by(h.groupBy("query_id", "chapter").agg(F.min("rank").alias("r")), "query_id", [F.col("r"), F.col("chapter")], 2, "k").select("query_id", "chapter")
-    return top_by(h.join(best, ["query_id", "chapter"], "left_semi").select("query_id", "candidate_id", "rank"), "query_id", [F.col("rank"), F.col("candidate_id")], 5, "place")
+    return top_by(cascade(h, 3, 8).select("query_id", "candidate_id", "rank"), "query_id", [F.col("rank"), F.col("candidate_id")], 5, "place")
+
+
+def cascade(hits: DataFrame, chapters: int, sections: int) -> DataFrame:
+    """The hits (query_id, chapter, section, rank, ..) of the best sections within the best chapters of each query; a parent is as good as its best hit."""
+
+    def best(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+        return top_by(df.groupBy("query_id", *keys).agg(F.min("rank").alias("r")), "query_id", [F.col("r"), *map(F.col, keys)], k, "k").select("query_id", *keys)
+
+    inside = hits.join(best(hits, ["chapter"], chapters), ["query_id", "chapter"], "left_semi")
+    return inside.join(best(inside, ["chapter", "section"], sections), ["query_id", "chapter", "section"], "left_semi")
 
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +167,9 @@ b AS (SELECT query_id, chapter, section, row_number() OVER (PARTITION BY query_i
 c AS (SELECT query_id, chapter, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chapter) AS c FROM h GROUP BY query_id, chapter),
 s AS (SELECT query_id, candidate_id, round(1.0::DOUBLE / (60 + a) + 0.5::DOUBLE / (60 + b) + 0.25::DOUBLE / (60 + c), 9) AS score FROM h JOIN a USING (query_id, candidate_id) JOIN b USING (query_id, chapter, section) JOIN c USING (query_id, chapter))
 SELECT *, CAST(row_number() OVER w AS INTEGER) AS place FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, candidate_id) QUALIFY row_number() OVER w <= 5""",
-    "chapter_cascade": _HITS + """, c AS (SELECT query_id, chapter FROM h GROUP BY query_id, chapter QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chapter) <= 2)
-SELECT query_id, candidate_id, rank, CAST(row_number() OVER w AS INTEGER) AS place FROM h SEMI JOIN c USING (query_id, chapter) WINDOW w AS (PARTITION BY query_id ORDER BY rank, candidate_id) QUALIFY row_number() OVER w <= 5""",
+    "chapter_cascade": _HITS + """, c AS (SELECT query_id, chapter FROM h GROUP BY query_id, chapter QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chapter) <= 3),
+i AS (SELECT * FROM h SEMI JOIN c USING (query_id, chapter)), s AS (SELECT query_id, chapter, section FROM i GROUP BY query_id, chapter, section QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chapter, section) <= 8)
+SELECT query_id, candidate_id, rank, CAST(row_number() OVER w AS INTEGER) AS place FROM i SEMI JOIN s USING (query_id, chapter, section) WINDOW w AS (PARTITION BY query_id ORDER BY rank, candidate_id) QUALIFY row_number() OVER w <= 5""",
     "neighbour_expansion": _HITS + r""", n AS (SELECT regexp_extract(candidate_id, '^(.*:)\d+$', 1) AS stem, CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) AS n, min(candidate_id) AS unit FROM candidates WHERE regexp_matches(candidate_id, ':\d+$') GROUP BY 1, 2),
 e AS (SELECT query_id, rank, candidate_id, unnest([0, 1, 2]) AS pos, unnest([0, -1, 1]) AS step FROM h WHERE regexp_matches(candidate_id, ':\d+$')),
 u AS (SELECT query_id, rank, candidate_id, pos, unit FROM e JOIN n ON n.stem = regexp_extract(candidate_id, '^(.*:)\d+$', 1) AND n.n = CAST(regexp_extract(candidate_id, ':(\d+)$', 1) AS INTEGER) + step),

@@ -25,13 +25,14 @@ def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _pages(spark, sf_dir).filter("text IS NOT NULL").withColumn("cleaned", X.clean_text("text"))
-    return c.select("result_id", "pdf_page_number", "cleaned", F.array_join(X.cleaning_notes(F.col("text"), F.col("cleaned")), ",").alias("notes"))
+    p = table(spark, sf_dir, "validation_results").select("result_id", F.explode("pages").alias("p")).select("result_id", "p.pdf_page_number", "p.chapter_title", F.col("p.cleaned_text").alias("text")).distinct()
+    c = p.filter("text IS NOT NULL").withColumn("cleaned", X.clean_text("text"))
+    return c.select("result_id", "pdf_page_number", "cleaned", F.array_join(X.cleaning_notes(F.col("text"), F.col("cleaned"), F.col("chapter_title")), ",").alias("notes"))
 
 
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _pages(spark, sf_dir).filter("text IS NOT NULL").select("result_id", "pdf_page_number", t.rlike(X.TABLE_MARK).alias("has_table"), t.rlike(X.FIGURE_MARK).alias("has_figure"), X.section_title(t).alias("section_title"), F.length(t).alias("n"))
+    return _pages(spark, sf_dir).filter("text IS NOT NULL").select("result_id", "pdf_page_number", t.rlike(X.TABLE_MARK).alias("has_table"), t.rlike(X.FIGURE_MARK).alias("has_figure"), t.rlike(X.EQUATION).alias("has_equation"), X.section_title(t).alias("section_title"), F.length(t).alias("n"))
 
 
 def content_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,12 @@ def process_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_text", *[Q.process(m, F.col("query_text")).alias(m) for m in Q.PROCESSORS if m != "raw"])
 
 
+def query_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that fire on each distinct query text, per processor."""
+    q = table(spark, sf_dir, "candidates").select("query_text").filter("query_text IS NOT NULL").distinct()
+    return q.select("query_text", *[F.array_join(Q.fired(m, F.col("query_text")), ",").alias(m) for m in Q.PROCESSORS if m != "raw"])
+
+
 def text_layer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text metrics per validation result and the first gate it fails."""
     stripped = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
@@ -145,21 +152,27 @@ def _extend_sql(label: str, hits: list[tuple[str, str]], distinct: bool = False)
     return f"CASE WHEN coalesce(len({found}), 0) > 0 THEN query_text || ' {label}: ' || array_to_string({found}, ' ') ELSE query_text END"
 
 
+def _fired_sql(cases: list[tuple[str, str]]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for cond, rule in cases) + ")"
+
+
 QUERIES = {
     "tokenize_documents": tokenize_documents, "clean_pages": clean_pages, "page_flags": page_flags, "content_recall": content_recall, "document_shingles": document_shingles,
     "corrupt_documents": corrupt_documents, "query_snippets": query_snippets, "split_sentences": split_sentences, "page_windows": page_windows,
-    "process_queries": process_queries, "text_layer_gate": text_layer_gate, "language_gate": language_gate, "running_lines": running_lines,
+    "process_queries": process_queries, "query_rules": query_rules, "text_layer_gate": text_layer_gate, "language_gate": language_gate, "running_lines": running_lines,
 }
 SQL = {
     "tokenize_documents": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {_TOKENS_SQL.format('text')} AS t FROM documents WHERE text IS NOT NULL)",
-    "clean_pages": _PAGES + r"""SELECT result_id, pdf_page_number, cleaned, array_to_string(list_filter([
+    "clean_pages": r"""WITH p AS (SELECT DISTINCT result_id, u.pdf_page_number AS pdf_page_number, u.chapter_title AS title, u.cleaned_text AS text FROM (SELECT result_id, unnest(pages) AS u FROM validation_results))
+SELECT result_id, pdf_page_number, cleaned, array_to_string(list_filter([
   CASE WHEN contains(text, chr(65533)) THEN 'replacement_character_present_in_raw_text' END,
   CASE WHEN regexp_matches(text, '[A-Za-z]-\s*\n\s*[a-z]') THEN 'line_break_hyphenation_repaired' END,
+  CASE WHEN length(title) > 0 AND (length(lower(cleaned)) - length(replace(lower(cleaned), lower(title), ''))) / length(title) > 1 THEN 'repeated_chapter_title_in_text_layer' END,
   CASE WHEN length(cleaned) < 100 THEN 'low_text_page' END], lambda x: x IS NOT NULL), ',') AS notes FROM (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(65533), ''''), '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(65533), ''''), '(?i)Government[''’]s Gift for Students[''’] Progress', ' ', 'g'), '(?m)^\s*CLASS\s+(?:X|10)\s*$', ' ', 'g'), '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned
   FROM p WHERE text IS NOT NULL)""",
     "page_flags": _PAGES + r"""SELECT result_id, pdf_page_number, regexp_matches(text, '(?i)\btable\s*[-:]?\s*\d+|\btabular\b') AS has_table,
-  regexp_matches(text, '(?i)\b(?:fig(?:ure)?|diagram)\s*[-:]?\s*[A-Z]?\d+') AS has_figure,
+  regexp_matches(text, '(?i)\b(?:fig(?:ure)?|diagram)\s*[-:]?\s*[A-Z]?\d+') AS has_figure, regexp_matches(text, '(?i)(?:[A-Za-z0-9)\]]\s*[=+−–]\s*[A-Za-z0-9(\[]|\b(?:sin|cos|tan)\s*[A-Za-zθ]|(?:^|[^\p{L}\p{N}_])[A-Z][a-z]?\s*\d{1,2}\b|\b\d+(?:\.\d+)?\s*(?:V|A|W|Ω|ohm|J|N|m/s|cm|kg)\b)') AS has_equation,
   nullif(left(trim(regexp_replace(regexp_extract(text, '(?m)^\s*((?:\d{1,2}\.){1,3}\d*\s+[^\n]{3,100})\s*$', 1), '\s+', ' ', 'g')), 160), '') AS section_title, CAST(length(text) AS INTEGER) AS n
   FROM p WHERE text IS NOT NULL""",
     "content_recall": f"""WITH h AS (SELECT DISTINCT hit_id, query_text, text FROM candidates WHERE query_text IS NOT NULL AND text IS NOT NULL),
@@ -187,6 +200,10 @@ SELECT query_text, {_rewrite_sql(Q.SPELLING)} AS spelling_normalization, {_rewri
 {_extend_sql('Related textbook terms', [(' AND '.join(f"contains(lower(query_text), '{t}')" for t in ts), x) for ts, x in Q.SYNONYMS], True)} AS textbook_synonym_expansion,
 {_extend_sql('Expanded terms', [(f"regexp_matches(query_text, '{p}')", x) for p, x in Q.ACRONYMS])} AS acronym_expansion,
 {_extend_sql('Normalized quantities', [(f"contains(lower(query_text), '{t}')", x) for t, x in Q.QUANTITIES])} AS formula_symbol_normalization FROM q""",
+    "query_rules": f"""WITH q AS (SELECT DISTINCT query_text FROM candidates WHERE query_text IS NOT NULL)
+SELECT query_text, {_fired_sql([(f"regexp_matches(query_text, '(?i){p}')", f"spelling:{to}") for p, to in Q.SPELLING])} AS spelling_normalization, {_fired_sql([(f"regexp_matches(query_text, '(?i){p}')", f"grammar:{to}") for p, to in Q.GRAMMAR])} AS grammar_cleanup,
+{_fired_sql([(' AND '.join(f"contains(lower(query_text), '{t}')" for t in ts), "synonym:" + "+".join(ts)) for ts, _ in Q.SYNONYMS])} AS textbook_synonym_expansion, {_fired_sql([(f"regexp_matches(query_text, '{p}')", f"acronym:{x}") for p, x in Q.ACRONYMS])} AS acronym_expansion,
+{_fired_sql([(f"contains(lower(query_text), '{t}')", f"quantity:{t}") for t, _ in Q.QUANTITIES])} AS formula_symbol_normalization FROM q""",
     "text_layer_gate": _PAGES + r""", m AS (SELECT result_id, count(*) AS pages, avg(CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 100 THEN 1.0 ELSE 0.0 END) AS r,
   quantile_cont(CAST(length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS DOUBLE), 0.5) AS median_chars, greatest(1, sum(length(coalesce(text, '')))) AS n,
   sum(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))) AS a, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), ''))) AS b FROM p GROUP BY result_id)
@@ -194,9 +211,9 @@ SELECT result_id, pages, round(r, 6) AS text_page_ratio, median_chars, round(a /
   CASE WHEN r < 0.9 THEN 'scanned_or_image_only' WHEN median_chars < 250 THEN 'insufficient_instructional_text' WHEN b / n > 0.01 THEN 'corrupt_text_extraction' WHEN a / n < 0.45 THEN 'corrupt_text_extraction' END AS error_code FROM m""".replace("{", "{"),
     "language_gate": _PAGES + r""", q AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)?') AS w0 FROM p WHERE text IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY pdf_page_number NULLS FIRST, text) - 1 AS i, count(*) OVER (PARTITION BY result_id) AS n FROM q WHERE len(w0) >= 40),
-s AS (SELECT result_id, list_transform(regexp_extract_all(left(text, 6000), '[A-Za-z]+(?:[''’][A-Za-z]+)?'), lambda x: replace(lower(x), '’', '''')) AS w FROM r WHERE i IN (0, n // 4, n * 2 // 4, n * 3 // 4, n - 1)),
-m AS (SELECT result_id, count(*) AS samples, sum(len(list_filter(w, lambda x: x IN (""" + ", ".join(f"'{x}'" for x in X.ENGLISH_COMMON) + r""")))) / greatest(1, sum(len(w))) AS ratio FROM s GROUP BY result_id)
-SELECT result_id, samples, round(ratio, 6) AS common_ratio, ratio >= 0.015 AS english FROM m""",
+s AS (SELECT result_id, len(regexp_extract_all(left(text, 6000), '\p{Latin}')) AS la, len(regexp_extract_all(left(text, 6000), '\p{L}')) AS le, list_transform(regexp_extract_all(left(text, 6000), '[A-Za-z]+(?:[''’][A-Za-z]+)?'), lambda x: replace(lower(x), '’', '''')) AS w FROM r WHERE i IN (0, n // 4, n * 2 // 4, n * 3 // 4, n - 1)),
+m AS (SELECT result_id, count(*) AS samples, sum(len(list_filter(w, lambda x: x IN (""" + ", ".join(f"'{x}'" for x in X.ENGLISH_COMMON) + r""")))) / greatest(1, sum(len(w))) AS ratio, sum(la) / greatest(1, sum(le)) AS latin FROM s GROUP BY result_id)
+SELECT result_id, coalesce(samples, 0) AS samples, round(coalesce(ratio, 0), 6) AS common_ratio, coalesce(ratio >= 0.015 AND latin >= 0.90, false) AS english FROM (SELECT DISTINCT result_id FROM validation_results) LEFT JOIN m USING (result_id)""",
     "running_lines": _PAGES + r""", l AS (SELECT result_id, pdf_page_number, text, string_split(text, chr(10)) AS ls FROM p WHERE text IS NOT NULL),
 n AS (SELECT result_id, count(*) AS n FROM l GROUP BY result_id),
 e AS (SELECT result_id, unnest(list_distinct(list_transform(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):len(ls)]), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))))) AS line FROM l)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import queries as Q
 from marginalia.functions import text as X
 from marginalia.operators.bootstrap import paired_delta
-from marginalia.operators.candidates import cluster, distinct_pages, diverse, merged, non_redundant, quota
+from marginalia.operators.candidates import SELECTORS, cluster, distinct_pages, diverse, merged, non_redundant, quota
 from marginalia.operators.chunking import fixed, structured
 from marginalia.operators.context import hard_budget, merge_intervals, overlap_join
 from marginalia.operators.retrieval import bm25_top, dense_top, fuse, pareto_front
@@ -91,3 +91,16 @@ def test_text_functions(spark):
     assert got[1][1] == [] and [r[2] for r in got] == [None, "empty_output", "empty_output"]
     q = spark.createDataFrame([("Teh plant eat 5 W",)], "q string").select(*[Q.process(m, F.col("q")).alias(m) for m in Q.PROCESSORS]).first()
     assert q.spelling_normalization == "the plant eat 5 W" and q.textbook_synonym_expansion.endswith("Related textbook terms: autotrophic nutrition photosynthesis make food") and q.acronym_expansion.endswith("Expanded terms: watt")
+
+
+def test_evidence_set_goldens():
+    chunk = lambda name, pages, chapter, section: {"candidate_id": name, "pdf_pages": pages, "chapter_title": chapter, "section_title": section}
+    a, b, c, d, e = chunk("a", [1], "C1", "S1"), chunk("b", [1, 2], "C1", "S1"), chunk("c", [2], "C1", "S2"), chunk("d", [3], "C2", "S3"), chunk("e", [4], "C2", "S3")
+    names = lambda xs: "".join(x["candidate_id"] for x in xs)
+    assert names(SELECTORS["same_page"]([c, e, a, b, d], 3)) == "cbe"
+    assert names(SELECTORS["distinct_pages"]([a, b, c, d, e], 3)) == "abd"
+    assert names(SELECTORS["same_section"]([a, c, e, b, d], 4)) == "abce"
+    assert names(SELECTORS["coverage"]([a, b, c, d, e], 3)) == "abc" and SELECTORS["coverage"]([], 3) == []
+    for choose in SELECTORS.values():
+        if choose.__name__ in ("same_page", "same_section", "coverage", "distinct_pages"):
+            assert len(set(names(choose([c, a, e, b, d], 4)))) == 4
