@@ -132,6 +132,15 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _KEY = r"nullif(lower(regexp_replace(%s, '^\s+|\s+$', '', 'g')), '')"
 _TOK = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+(?:[.''-][A-Za-z0-9]+)*'), lambda x: lower(x))"
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _content(text: str) -> str:
+    """Content tokens: no stop words or single characters, the first ending that leaves four letters cut off."""
+    stop = ", ".join(f"'{w}'" for w in "a an and are as at be by for from has have in into is it of on or that the their this to was when where which with".split())
+    ends = " ".join(f"WHEN suffix(x, '{e}') AND length(x) - {len(e)} >= 4 THEN left(x, length(x) - {len(e)})" for e in ("ization", "ation", "ingly", "edly", "ing", "ies", "ed", "es", "s"))
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({stop})), lambda x: CASE {ends} ELSE x END))"
+
+
 SQL = {
     "answer_checks": _HITS + """, e AS (SELECT hit_id, CASE WHEN rank >= 1 THEN NULL ELSE 'invalid status' END AS e1, CASE WHEN len(pdf_pages) >= 1 AND pdf_pages[1] IS NOT NULL AND len(textbook_pages) >= 2 AND textbook_pages[2] IS NOT NULL THEN NULL ELSE 'citation page metadata does not match supplied evidence' END AS e2 FROM h WHERE candidate_id IS NOT NULL AND text IS NOT NULL)
 SELECT hit_id, e1 IS NULL AND e2 IS NULL AS valid, concat_ws('; ', e1, e2) AS errors, 1 AS citations, CASE WHEN e2 IS NULL THEN 1 ELSE 0 END AS valid_citations FROM e""",
@@ -144,6 +153,11 @@ SELECT retriever, count(*) AS n, round(avg(em), 6) AS em, round(avg(prec), 6) AS
     "near_duplicate_queries": r"""WITH q AS (SELECT lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))) AS text, min(query_id) AS id FROM candidates WHERE query_text IS NOT NULL AND query_id IS NOT NULL GROUP BY 1),
 s AS (SELECT list_sort(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS s, min(id) AS id FROM q GROUP BY 1), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS na, len(b.s) AS nb FROM s a JOIN s b ON a.id < b.id AND len(a.s) * 0.86 <= len(b.s) AND len(b.s) * 0.86 <= len(a.s))
 SELECT left_id, right_id, round(n::DOUBLE / (na + nb - n), 4) AS similarity FROM p WHERE n::DOUBLE / (na + nb - n) >= 0.86""",
+    "near_duplicate_pieces": """WITH p AS (SELECT piece_id, text FROM text_pieces QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY loaded_at DESC, text DESC NULLS LAST) = 1), s AS (SELECT piece_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS s FROM p WHERE regexp_matches(text, '[A-Za-z0-9]') AND piece_id IS NOT NULL),
+c AS (SELECT s, min(piece_id) AS class_id FROM s GROUP BY s), n AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.class_id <> b.class_id WHERE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8 GROUP BY a.class_id)
+SELECT piece_id, class_id, coalesce(links, 0) AS links FROM s JOIN c USING (s) LEFT JOIN n USING (class_id)""",
+    "claim_support": _HITS + f""", k AS (SELECT lower(trim(retriever)) AS retriever, query_text AS c, text AS t, {_content('query_text')} AS cw, {_content('text')} AS tw FROM h WHERE query_text IS NOT NULL AND text IS NOT NULL)
+SELECT retriever, count(*) AS n, count(*) FILTER (WHERE len(list_intersect(cw, tw)) / greatest(1, len(cw)) >= 0.3 AND len(list_filter(regexp_extract_all(c, '\\d+(?:\\.\\d+)?'), lambda x: NOT list_contains(regexp_extract_all(t, '\\d+(?:\\.\\d+)?'), x))) = 0) AS supported FROM k GROUP BY retriever""",
     "gold_units": _HITS + f""", q AS (SELECT query_id, candidate_id, list_distinct({_TOK.format('query_text')}) AS q, list_distinct({_TOK.format("coalesce(text, '')")}) AS t FROM h WHERE query_id IS NOT NULL AND candidate_id IS NOT NULL AND query_text IS NOT NULL),
 c AS (SELECT query_id, candidate_id, max(round(len(list_intersect(q, t)) / len(q), 6)) AS coverage FROM q WHERE len(q) > 0 GROUP BY ALL), b AS (SELECT query_id, max(coverage) AS best FROM c GROUP BY query_id)
 SELECT query_id, candidate_id, coverage, CAST(row_number() OVER w AS INTEGER) AS place, CASE WHEN row_number() OVER w = 1 THEN 'primary' ELSE 'alternative' END AS role FROM c JOIN b USING (query_id) WHERE best >= 0.5 AND coverage >= 0.5 AND coverage >= round(best * 0.9, 6) WINDOW w AS (PARTITION BY query_id ORDER BY coverage DESC, candidate_id)""",

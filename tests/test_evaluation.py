@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import answers as A
 from marginalia.functions import spans as P
 from marginalia.functions import specialists as S
+from marginalia.operators.blocks import page_blocks, split_blocks
 from marginalia.operators.sampling import disjoint_sample
 from marginalia.operators.similarity import near_duplicate_sets
 from marginalia.plans.specialists import pack_units
@@ -115,3 +116,15 @@ def test_specialist_texts(spark):
     assert one(S.table_text(F.lit(page), "pairs")).split("\n")[-1] == "Name Age | Key: Bob of | Value: the old town 40"
     assert one(S.activated("formula", F.lit("what are the laws"), "v3")) and not one(S.activated("formula", F.lit("what are the laws"), "v2"))
     assert one(S.evidence_window(F.lit("aa bb cc dd ee"), F.lit("CC"), 4)) == "cc dd" and one(S.evidence_window(F.lit("aa"), F.lit("zz"))) is None
+
+
+def test_blocks_of_a_page(spark):
+    long = "The water in the river is cold because it comes from the hills and the fish that live in it are used to that"
+    text = f"2.1 Rivers:\n{long}\nand they have been there for as long as anyone in the town can remember it.\nNew paragraph here\n\n- first item\nwraps here\nFigure 3 A river\nWhy is it cold?\nWater Cycle.\nActivity 1 do\nv = 3"
+    got = page_blocks(text, "Water cycle")
+    assert [k for k, _ in got] == ["heading", "paragraph", "paragraph", "bullet_list", "question", "heading", "activity"]
+    assert got[0][1] == "2.1 Rivers" and got[3][1] == "- first item wraps here" and got[4][1] == "Figure 3 A river Why is it cold?" and got[6][1] == "Activity 1 do v = 3"
+    assert page_blocks(None) == page_blocks("\n \n") == [] and page_blocks("a b", has_table=True)[0][0] == "table_text" and page_blocks("E = m", has_table=False)[0][0] == "formula"
+    df = spark.createDataFrame([(1, text, "Water cycle", None, None, "x"), (2, None, None, True, True, "x")], "id long, cleaned_text string, section_title string, has_table boolean, has_equation_like_text boolean, text string")
+    rows = split_blocks(df, ["id"]).collect()
+    assert [(r.id, r.no, r.kind) for r in rows] == [(1, i, k) for i, (k, _) in enumerate(got)]
