@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ UNKNOWN_WORD = -1.0
 SIGNIFICANCE = 1e-3
 #: Share of the fine documents' best scores above which only their number counts.
 CENSORED = 0.95
+#: Bytes of texts or tokens that are worked on at once, to the end of a document.
+BLOCK = 1 << 22
 
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнο αε".replace(" ", ""), "aeopcyxijsdhkmtbhoae")
 _LEET = [str.maketrans("013457$@!", "oieastsai"), str.maketrans("013457$@!|", "oleastsail")]
@@ -171,11 +174,14 @@ def prior_words() -> dict[str, tuple[float, float]]:
 
 
 class Own(NamedTuple):
-    """Keys that a reviewed document counted in its unwelcome and in its fine text."""
+    """Whether reviewed documents, laid end to end, counted a feature in their own unwelcome and fine text: by size less 1 and first token."""
 
     bad: np.ndarray
     fine: np.ndarray
 
+    def of(self, size: int) -> Own:
+        return Own(*[x[size - 1, : max(0, x.shape[1] - size + 1)] for x in self])
+
 
 @dataclass(frozen=True)
 class Model:
@@ -226,7 +232,7 @@ class Model:
         at, hit = self._find(wanted)
         if own is None:
             return np.where(hit, self.scores[at].astype(np.float64), 0.0), hit
-        bad, fine = self.counts[0][at] - np.isin(wanted, own.bad), self.counts[1][at] - np.isin(wanted, own.fine)
+        bad, fine = self.counts[0][at] - own.bad, self.counts[1][at] - own.fine
         more_bad, more_fine = self.counts[2][at].astype(np.float64), self.counts[3][at].astype(np.float64)
         hit &= (bad + fine > 0) | self.listed[at]
         return np.where(hit, np.log(np.maximum(bad + more_bad, 1e-9) / np.maximum(fine + more_fine, 1e-9)), 0.0), hit
@@ -235,18 +241,18 @@ class Model:
         """Score of each token of several documents laid end to end; words are word_keys, edge marks documents' first tokens.
 
         A token's score is the mean of what the longest known n-gram ending at it
-        and the longest one beginning at it say. own leaves out what one reviewed
+        and the longest one beginning at it say. own leaves out what each reviewed
         document itself added to the counts.
         """
-        v, hit = self._look(words, own)
+        v, hit = self._look(words, own and own.of(1))
         ending = np.where(hit, v, UNKNOWN_WORD)
         starting = ending.copy()
         pairs, triples = ngram_keys(words)
-        v, hit = self._look(pairs, own)
+        v, hit = self._look(pairs, own and own.of(2))
         hit &= ~edge[1:]
         ending[1:][hit], starting[:-1][hit] = v[hit], v[hit]
         if len(triples):
-            v, hit = self._look(triples, own)
+            v, hit = self._look(triples, own and own.of(3))
             hit &= ~edge[1:-1] & ~edge[2:]
             ending[2:][hit], starting[:-2][hit] = v[hit], v[hit]
         return np.clip((ending + starting) / 2, self.least, self.most)
@@ -271,6 +277,43 @@ class WordKeys(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64)
 
 
+def split_words(texts: pa.Array, normal: Normal, keys: WordKeys) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, starts): the keys of normal.tokens() of all texts end to end, and the texts' offsets, with the end.
+
+    Texts are split by Arrow, whose white space is Python's, and each different word of them is normalised once.
+    """
+    split = pc.utf8_split_whitespace(texts)
+    each = split.flatten().dictionary_encode()
+    parts = list(map(normal.__getitem__, each.dictionary.to_pylist()))  # none for the empty word before leading white space
+    flat = list(chain.from_iterable(parts))
+    key, letter = keys.of(flat), np.fromiter((len(t) == 1 and t.isalpha() for t in flat), bool, len(flat))
+    many = np.fromiter(map(len, parts), np.int64, len(parts))
+    raw = each.indices.to_numpy()
+    number = many[raw]
+    ends = np.cumsum(number)
+    at = np.repeat((np.cumsum(many) - many)[raw] - ends + number, number) + np.arange(number.sum())
+    raw_starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))])
+    words, starts = key[at], np.concatenate([[0], ends])[raw_starts]
+    letter = letter[at]
+    row = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:])
+    doc = np.searchsorted(starts, row, "right") - 1
+    runs, done, lengths = [], 0, np.diff(starts)
+    for d in np.unique(doc[row + 2 < starts[doc + 1]]):  # letters set apart may be words
+        joined = keys.of(normal.tokens(texts[int(d)].as_py()))
+        runs += [words[done : starts[d]], joined]
+        done, lengths[d] = starts[d + 1], len(joined)
+    return (np.concatenate([*runs, words[done:]]), np.concatenate([[0], np.cumsum(lengths)])) if runs else (words, starts)
+
+
+def _blocks(b: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about BLOCK bytes; sizes: each row's bytes."""
+    block = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for a, e in zip(cuts, cuts[1:]):
+        if a < e:
+            yield b.slice(a, e - a)
+
+
 _PAIR_STEP, _TRIPLE_STEP, _POSITIVE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 63) - 1)
 
 
@@ -345,18 +388,36 @@ def _parts(words: np.ndarray, segments: list[tuple[int, int]]) -> tuple[list[np.
     return [r for r in inside if len(r)], [r for r in outside if len(r)]
 
 
-def _first(n: int) -> np.ndarray:
-    edge = np.zeros(n, dtype=bool)
-    edge[:1] = True
-    return edge
+def _edges(starts: np.ndarray) -> np.ndarray:
+    """Marks the first tokens of documents laid end to end; starts: their offsets, with the end."""
+    edge = np.zeros(int(starts[-1]) + 1, dtype=bool)
+    edge[starts] = True
+    return edge[:-1]
 
 
-def _own(words: np.ndarray, segments: list[tuple[int, int]] | None) -> Own:
-    """What a document adds to the counts; null segments add nothing."""
-    none = np.zeros(0, dtype=np.int64)
-    if segments is None:
-        return Own(none, none)
-    return Own(*[np.unique(np.concatenate([none, *[_features(r)[0] for r in runs]])) for runs in _parts(words, segments)])
+def _own(words: np.ndarray, starts: np.ndarray, segments: list[list[tuple[int, int]] | None]) -> Own:
+    """What documents laid end to end add to the counts, each with its unwelcome segments; null segments add nothing."""
+    own = Own(np.zeros((3, len(words)), dtype=bool), np.zeros((3, len(words)), dtype=bool))
+    for a, e, found in zip(starts[:-1].tolist(), starts[1:].tolist(), segments):
+        if found is None or a == e:
+            continue
+        if found in ([], [(0, e - a)]):  # all of it is one run
+            (own.bad if found else own.fine)[:, a:e] = True
+            continue
+        run = np.zeros(e - a + 1, dtype=np.int64)  # even outside of segments
+        for x, y in found:
+            run[x] += 1
+            run[y] += 1
+        run = np.cumsum(run[:-1])
+        key = _features(words[a:e])[0]
+        within = np.concatenate([run >= 0, run[:-1] == run[1:], run[:-2] == run[2:]])
+        bad = np.concatenate([run, run[:-1], run[:-2]]) % 2 == 1
+        _, of = np.unique(key, return_inverse=True)
+        for which, counted in zip(own, (within & bad, within & ~bad)):
+            has = (np.bincount(of, weights=counted) > 0)[of]
+            for n, x in enumerate(np.split(has, [e - a, 2 * (e - a) - 1])):
+                which[n, a : a + len(x)] = x
+    return own
 
 
 def _count(documents: Iterable[tuple[np.ndarray, list[tuple[int, int]] | None]]) -> tuple[np.ndarray, ...]:
@@ -463,9 +524,9 @@ def _tokenized(labelled: DataFrame, known: frozenset[str] = frozenset()) -> Data
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal, keys = Normal(shared.value | prior_words().keys()), WordKeys()
-        for b in batches:
-            words = [keys.of(normal.tokens(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.int64()))], names=["label", "tokens"])
+        for b in (x for whole in batches for x in _blocks(whole, pc.binary_length(whole.column("text")))):
+            words, starts = split_words(b.column("text"), normal, keys)
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(words))], names=["label", "tokens"])
 
     return labelled.select("text", "label").mapInArrow(split, "label int, tokens array<long>")
 
@@ -518,11 +579,12 @@ def _rescored(state: DataFrame, model: Model, before: Model | None) -> DataFrame
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            found = []
-            for _, words, segments in _reviewed(b, calibrated):
-                scores = m.token_scores(words, _first(len(words)), _own(words, segments))
-                found.append([{"start": x, "stop": y, "score": z} for x, y, z in maximal_segments(scores)])
+        for b in (x for whole in batches for x in _blocks(whole, pc.multiply(pc.list_value_length(whole.column("tokens")), 8))):
+            _, each, segments = zip(*_reviewed(b, calibrated))
+            words, starts = np.concatenate(each), np.concatenate([[0], np.cumsum([len(w) for w in each])])
+            scores = m.token_scores(words, _edges(starts), _own(words, starts, segments))
+            parts = np.split(scores, starts[1:-1])
+            found = [[{"start": x, "stop": y, "score": z} for x, y, z in maximal_segments(p)] if p.max(initial=0) > 0 else [] for p in parts]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("tokens"), pa.array(found, kind)], names=["label", "tokens", "candidates"])
 
@@ -596,9 +658,10 @@ def word_background(docs: DataFrame, known: frozenset[str] = frozenset()) -> Dat
         raw: Counter = Counter()
         normal, keys = Normal(shared.value | prior_words().keys()), WordKeys()
         for b in batches:
-            for text in b.column("text").to_pylist():
-                if text:
-                    raw.update(text.split())
+            for x in _blocks(b, pc.binary_length(b.column("text"))):
+                found = pc.utf8_split_whitespace(x.column("text")).flatten().value_counts()
+                for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    raw[w] += n
             if len(raw) > 2_000_000:
                 yield _batch(raw, normal, keys)
                 raw.clear()
@@ -631,23 +694,20 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, model: Model, k
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         normal, keys = Normal(m.known | prior_words().keys()), WordKeys()
-        for b in batches:
-            words = [normal.tokens(t) if t else [] for t in b.column("_text").to_pylist()]
-            lengths = np.array([len(w) for w in words], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            edge = np.zeros(int(starts[-1]) + 1, dtype=bool)
-            edge[starts] = True
-            scores = m.token_scores(keys.of(chain.from_iterable(words)), edge[:-1])
+        for b in (x for whole in batches for x in _blocks(whole, pc.binary_length(whole.column("_text")))):
+            words, starts = split_words(b.column("_text"), normal, keys)
+            lengths = np.diff(starts)
+            scores = m.token_scores(words, _edges(starts))
             best = best_scores(scores, starts)
             chance = [m.probability(x, n) for x, n in zip(best, lengths)]
-            count, passage = [0] * len(words), [None] * len(words)
+            count, passage = [0] * len(lengths), [None] * len(lengths)
             for i, p in enumerate(chance):
                 if p <= SIGNIFICANCE:
                     found = [s for s in maximal_segments(scores[starts[i] : starts[i + 1]]) if m.probability(s[2], int(lengths[i])) <= SIGNIFICANCE]
                     count[i] = len(found)
                     if found:
                         a, e, _ = max(found, key=lambda s: s[2])
-                        passage[i] = " ".join(words[i][a:e])
+                        passage[i] = " ".join(normal.tokens(b.column("_text")[i].as_py())[a:e])
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ["id", *keep]], pa.array(lengths, pa.int32()), pa.array(best), pa.array(chance, pa.float64()), pa.array(count, pa.int32()), pa.array(passage, pa.string())], names=names
             )
