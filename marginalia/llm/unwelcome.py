@@ -588,7 +588,9 @@ def _rescored(state: DataFrame, model: Model, before: Model | None) -> DataFrame
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("tokens"), pa.array(found, kind)], names=["label", "tokens", "candidates"])
 
-    return materialize(state.mapInArrow(score, f"label int, tokens array<long>, candidates {_CANDIDATES}"))
+    found = materialize(state.mapInArrow(score, f"label int, tokens array<long>, candidates {_CANDIDATES}"))
+    shared.destroy()  # what is written needs the model no more; else its copies stay on every machine's disk
+    return found
 
 
 def _calibrate(model: Model, state: DataFrame) -> Model:

@@ -1,5 +1,6 @@
 """Whole blocks of documents give what each document gives on its own, in little time."""
 
+import os
 import time
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marginalia.llm import unwelcome
-from marginalia.llm.unwelcome import Normal, WordKeys, _blocks, _count, _edges, _log_odds, _own, prior_words, score_documents, split_words, train
+from marginalia.llm.unwelcome import ROUNDS, Normal, WordKeys, _blocks, _count, _edges, _log_odds, _own, prior_words, score_documents, split_words, train
 
 PIECES = st.sampled_from(["river", "f", "u", "c", "k", "F.U.C.K", "s**t", "a-b", "--", "12", "well-known", "idi0t", "\u00a8", "\u0928\u0926\u0940", " ", "  ", "\n", "\u00a0", "\u2003", "\x1c", "\u200b"])
 
@@ -86,3 +87,11 @@ def test_blocks_do_not_change_results(spark, monkeypatch):
         assert score_documents(docs, "id", "text", model).orderBy("id").collect() == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_models_of_earlier_rounds_leave_the_disk(spark):
+    files = lambda: set(os.listdir(spark.sparkContext._temp_dir))
+    docs = spark.createDataFrame([(i, f"The leaf {i} is near the river.") for i in range(30)], "id long, text string")
+    before = files()
+    train(docs, spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(30)], "id long, label int"))
+    assert len(files() - before) < ROUNDS  # one stayed for each round, besides that of the known words
