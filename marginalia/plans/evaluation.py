@@ -58,7 +58,7 @@ def near_duplicate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every text piece by equal words, and the number of similar classes (0.8)."""
-    p = table(spark, sf_dir, "text_pieces").groupBy("piece_id").agg(F.max_by("text", F.struct("loaded_at", "text")).alias("text")).filter(F.col("text").rlike("[A-Za-z0-9]"))
+    p = table(spark, sf_dir, "text_pieces").groupBy("piece_id").agg(F.max(F.struct("loaded_at", "text")).alias("last")).select("piece_id", F.col("last.text").alias("text")).filter(F.col("text").rlike("[A-Za-z0-9]"))
     pairs, members = near_duplicate_sets(p, "piece_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 0.8)
     links = pairs.select(F.explode(F.array("left_id", "right_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     return members.join(links, "class_id", "left").select(F.col("id").alias("piece_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))

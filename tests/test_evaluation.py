@@ -1,6 +1,7 @@
 import json
 import random
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import functions as F
 
 from marginalia.functions import answers as A
@@ -30,6 +31,25 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_near_duplicates_of_common_words_meet_seldom(spark):
+    random.seed(8)
+    words = [f"w{i}" for i in range(400)]
+    sets = [random.sample(words, 60) for _ in range(3000)]
+    rows = list(enumerate(sets + [[*s[1:], "new"] for s in sets[:50]]))
+    pairs, _ = near_duplicate_sets(spark.createDataFrame(rows, "id long, t array<string>"), "id", F.col("t"), 0.8)
+    assert {(r.left_id, r.right_id) for r in pairs.collect()} == {(i, 3000 + i) for i in range(50)}
+
+    def joined(plan):
+        if not isinstance(plan, JavaObject):
+            return 0
+        inner = [plan.executedPlan()] if plan.nodeName().startswith("AdaptiveSparkPlan") else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+        children = plan.children()
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        return max([own, *map(joined, inner), *(joined(children.apply(i)) for i in range(children.size()))])
+
+    assert 50 <= joined(pairs._jdf.queryExecution().executedPlan()) < 10 * len(rows)
+
+
 def test_disjoint_sample_is_the_sequential_pass(spark):
     random.seed(6)
     rows = [(i, [random.randrange(90) for _ in range(random.randrange(4))] if i % 11 else None, random.randrange(1000)) for i in range(150)]
